@@ -47,3 +47,10 @@ def words(text: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def identity(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes that stand for a row's id and text, the same in every run."""
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("\x00null"))
+    return F.xxhash64(ident, text), F.xxhash64(F.lit(7), ident, text)

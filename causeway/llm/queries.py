@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .lines import dedup_lines
 from .packing import pack_documents
+from .quality import judge
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +18,74 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT rid, doc_id, i AS pos, l[i] AS line,
+         trim(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS l,
+               unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs)),
+hot AS (
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM hot)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos)
+                       FILTER (key NOT IN (SELECT key FROM hot)), '')) AS kept_sha256
+FROM lines GROUP BY rid, doc_id
+"""
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs),
+grams AS (
+  SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT rid, g FROM grams GROUP BY rid, g HAVING count(*) > 1),
+covered AS (
+  SELECT rid, count(DISTINCT i + d) AS n
+  FROM (SELECT rid, i FROM grams SEMI JOIN twice USING (rid, g)), (VALUES (0), (1), (2)) t(d)
+  GROUP BY rid),
+dups AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+base AS (
+  SELECT w.rid, doc_id, source, len(ws) AS n_words,
+         coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         coalesce(dups.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN dups USING (rid) LEFT JOIN covered USING (rid)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM judged GROUP BY source),
+fit AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS m, var_pop(f / n) AS v, avg(1 / n) AS inv FROM hosts),
+prior AS (
+  SELECT m, CASE WHEN v - m * (1 - m) * inv > 0
+                 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 1), 1e6) ELSE 1e6 END AS s FROM fit)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (f + m * s) / (n + s) <= 0.5 AS kept
+FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, prior
+"""
+
+
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op1_best_fit_packing": op1_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL}
