@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chain_of_turns, format_conversations, parse_turns, unescape
 from .common import table
 from .lines import dedup_lines
+from .mixing import mix
 from .packing import pack_documents
 from .quality import judge
 
@@ -83,9 +89,48 @@ FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, prior
 """
 
 
+def op6_mixing_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
+    made = format_conversations(chain_of_turns(rows))
+
+    def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for conv, text, spans in zip(pdf["conv"], pdf["formatted"], pdf["loss_spans"], strict=True):
+                turns = parse_turns(text)
+                loss = "".join(unescape(text[x["start"] : x["end"]]) for x in spans)
+                digest = hashlib.sha256("".join(f"{role}\n{body}\n" for role, body in turns).encode()).hexdigest()
+                out.append((conv, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return made.mapInPandas(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<turn ' || role || '>' || chr(10) || text || chr(10) || '</turn>' || chr(10))
+           + len(regexp_extract_all(text, '</?turn')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_mixing_target_weights": op6_mixing_target_weights,
+    "op8_chat_formatting": op8_chat_formatting,
     "op1_best_fit_packing": op1_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op8_chat_formatting": OP8_SQL}
