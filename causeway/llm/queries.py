@@ -13,6 +13,7 @@ from .chat import chain_of_turns, format_conversations, parse_turns, unescape
 from .common import table
 from .lines import dedup_lines
 from .mixing import mix
+from .neighbours import nearest
 from .packing import pack_documents
 from .quality import judge
 
@@ -24,6 +25,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -127,6 +133,7 @@ FROM turns GROUP BY conv_id
 
 
 QUERIES = {
+    "op2_approximate_nearest_neighbours": op2_approximate_nearest_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing_target_weights": op6_mixing_target_weights,
