@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .chat import chain_of_turns, format_conversations, parse_turns, unescape
 from .common import table
+from .html import extract_main_text
 from .lines import dedup_lines
 from .mixing import mix
 from .neighbours import nearest
@@ -53,6 +54,11 @@ FROM lines GROUP BY rid, doc_id
 """
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), out_col="text")
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -135,6 +141,7 @@ FROM turns GROUP BY conv_id
 QUERIES = {
     "op2_approximate_nearest_neighbours": op2_approximate_nearest_neighbours,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing_target_weights": op6_mixing_target_weights,
     "op8_chat_formatting": op8_chat_formatting,
