@@ -1,0 +1,33 @@
+"""Connected components of a distributed list of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def component_of(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(node, component): the smallest node that each end of the links (a, b) reaches.
+
+    Rounds of large and small stars: every node hands its larger neighbours, then its smaller
+    ones, over to the smallest it knows. Minima are aggregated before they travel, and each
+    round is written, so plans stay short and lost executors cost one round.
+    """
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges0")
+    for k in range(1, max_rounds):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = large.join(least2, "u")
+        small = down.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        nxt = written(small.unionByName(least2.select("u", F.col("m").alias("v"))).distinct(), f"edges{k}")
+        # Unchanged edges are stars around the smallest nodes.
+        digest = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if digest(nxt) == digest(edges):
+            break
+        edges = nxt
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .chat import chain_of_turns, format_conversations, parse_turns, unescape
 from .common import table
 from .html import extract_main_text
+from .jaccard import jaccard_components
 from .lines import dedup_lines
 from .mixing import mix
 from .neighbours import nearest
@@ -138,6 +139,35 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN list_aggregate(w, 'string_agg', ' ')
+                               ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT reach.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY reach.doc_id
+"""
+
+
 QUERIES = {
     "op2_approximate_nearest_neighbours": op2_approximate_nearest_neighbours,
     "op3_line_dedup": op3_line_dedup,
@@ -147,4 +177,6 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op1_best_fit_packing": op1_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op8_chat_formatting": OP8_SQL}
+QUERIES["op10_ngram_jaccard_join"] = op10_ngram_jaccard_join
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
