@@ -18,6 +18,7 @@ from .mixing import mix
 from .neighbours import nearest
 from .packing import pack_documents
 from .quality import judge
+from .suffixes import drop_repeats
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +169,13 @@ FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY reach.doc_id
 """
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    n_removed = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]), F.lit(0).cast("long"))
+    n_spans = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return done.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.when(F.col("removed").isNull(), 0).otherwise(n_spans).alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_approximate_nearest_neighbours": op2_approximate_nearest_neighbours,
     "op3_line_dedup": op3_line_dedup,
@@ -177,6 +185,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op1_best_fit_packing": op1_best_fit_packing,
 }
+QUERIES["op9_suffix_array_dedup"] = op9_suffix_array_dedup
 QUERIES["op10_ngram_jaccard_join"] = op10_ngram_jaccard_join
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
