@@ -228,6 +228,26 @@ def _parts(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(n + 1))
 
 
+SHORT = np.uint64((1 << 40) - 1)
+
+
+def _short(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Part and 40 bits of a hash: enough to find candidates, which are compared in full later."""
+    return (mix(hashes) % np.uint64(n) << np.uint64(40)) | (hashes & SHORT)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpack(x: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
 def _ids(column) -> np.ndarray:
     return column.fill_null(_LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -236,7 +256,17 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     """(r1, r2, runs): maximal removed runs (start, end) in bytes, end exclusive, of documents that lose any."""
     r1, r2 = identity(id_col, text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), F.col(text_col).cast("string").alias("text"))
-    n_parts = 4 * shuffle_width(docs.sparkSession)
+    # Whole copies go first: only the smallest id of a text can be the earlier one elsewhere.
+    t1, t2 = F.xxhash64("text"), F.xxhash64(F.lit(3), F.col("text"))
+    slim = slim.withColumns({"t1": t1, "t2": t2})
+    first_of = slim.where("text is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first_of = written(first_of, "texts")
+    slim = slim.join(F.broadcast(first_of) if first_of.count() <= BROADCAST_ROWS else first_of, ["t1", "t2"], "left").drop("t1", "t2")
+    is_copy = F.coalesce(F.coalesce("doc_id", F.lit(_LAST_ID)) > F.col("first_id"), F.lit(False))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
+    copies = slim.where(is_copy & (F.octet_length("text") >= length)).select("r1", "r2", whole.alias("runs"))
+    slim = slim.where(~is_copy).select("doc_id", "r1", "r2", "text")
+    n_parts = 2 * shuffle_width(docs.sparkSession)
     width = length - GRAM + 1
 
     def anchors(batches: Iterator) -> Iterator:
@@ -256,7 +286,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 own = order[begin[p] : begin[p + 1]]
                 if len(own):
                     who, number = np.unique(text[own], return_inverse=True)
-                    for column, value in zip(rows, (p, hashes[own].tobytes(), number.astype("<u4").tobytes(), ids[who].tobytes(), keys[who].tobytes()), strict=True):
+                    for column, value in zip(rows, (p, hashes[own].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), _pack(np.diff(number, prepend=0).astype("<u4")), ids[who].tobytes(), keys[who].tobytes()), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "hashes", "number", "ids", "keys"])
 
@@ -266,8 +296,10 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         found: dict[int, list] = {}
         for batch in batches:
             for p, *cols in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                number = np.frombuffer(cols[1], "<u4")
-                found.setdefault(p, []).append((np.frombuffer(cols[0], np.uint64), np.frombuffer(cols[2], np.int64)[number], np.frombuffer(cols[3], np.int64)[number]))
+                number = np.cumsum(_unpack(cols[1], np.uint32))
+                low = np.zeros((len(number), 8), np.uint8)
+                low[:, :5] = np.frombuffer(cols[0], np.uint8).reshape(-1, 5)
+                found.setdefault(p, []).append((low.view(np.uint64).ravel() | np.uint64(p << 40), np.frombuffer(cols[2], np.int64)[number], np.frombuffer(cols[3], np.int64)[number]))
         for p in list(found):
             hashes, ids, keys = (np.concatenate(x) for x in zip(*found.pop(p), strict=True))
             order = np.argsort(hashes, kind="stable")
@@ -296,11 +328,12 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         for batch in batches:
             raw, offsets = text_buffers(batch.column(3))
             hashes, text, anchor, lo, hi = anchor_runs(raw, offsets, length)
+            short = _short(hashes, n_parts)
             wanted = np.zeros(len(hashes), bool)
             begin = np.searchsorted(text, np.arange(batch.num_rows + 1))
             for i, found in enumerate(batch.column(4).to_pylist()):
                 own = slice(begin[i], begin[i + 1])
-                wanted[own] = np.isin(hashes[own], np.concatenate([np.frombuffer(x, np.uint64) for x in found]))
+                wanted[own] = np.isin(short[own], np.concatenate([np.frombuffer(x, np.uint64) for x in found]))
             hashes, text, anchor, lo, hi = (x[wanted] for x in (hashes, text, anchor, lo, hi))
             # Byte j of a record is byte anchor - (width - 1) + j of the text; beyond its ends, 0.
             rel = anchor - (width - 1)
@@ -316,7 +349,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 ok = (at >= 0) & (at < size[text[own]][:, None])
                 context = np.where(ok, raw[np.where(ok, at + offsets[text[own]][:, None], offsets[0])], 0).astype(np.uint8)
                 rows[0].append(p)
-                rows[1].append([context.tobytes(), hashes[own].tobytes(), rel[own].tobytes(), (lo[own] - rel[own]).astype(np.uint8).tobytes(), (hi[own] - rel[own]).astype(np.uint8).tobytes(), ids[text[own]].tobytes(), k1[text[own]].tobytes(), k2[text[own]].tobytes()])
+                rows[1].append([_pack(context), hashes[own].tobytes(), rel[own].tobytes(), (lo[own] - rel[own]).astype(np.uint8).tobytes(), (hi[own] - rel[own]).astype(np.uint8).tobytes(), ids[text[own]].tobytes(), k1[text[own]].tobytes(), k2[text[own]].tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.binary()))], names=["part", "record"])
 
     def sorted_runs(batches: Iterator) -> Iterator:
@@ -326,7 +359,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         found: dict[int, list] = {}
         for batch in batches:
             for p, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(p, []).append([np.frombuffer(x, kind) for x, kind in zip(record, kinds, strict=True)])
+                found.setdefault(p, []).append([_unpack(record[0], np.uint8), *[np.frombuffer(x, kind) for x, kind in zip(record[1:], kinds[1:], strict=True)]])
         for p in list(found):
             context, hashes, rel, lo, hi, ids, k1, k2 = (np.concatenate(x) for x in zip(*found.pop(p), strict=True))
             context = context.reshape(len(hashes), width - 1 + length)
@@ -358,7 +391,8 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 runs.append([{"start": a, "end": b} for a, b in own])
             yield pdf[["r1", "r2"]].assign(runs=runs)
 
-    return written(merged.mapInPandas(merge, "r1 long, r2 long, runs array<struct<start: long, end: long>>"), "runs")
+    partial = merged.mapInPandas(merge, "r1 long, r2 long, runs array<struct<start: long, end: long>>")
+    return written(partial.unionByName(copies).dropDuplicates(["r1", "r2"]), "runs")
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
