@@ -2,5 +2,474 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from causeway.functions.stats import f_tail_sql
+from causeway.operators import community, edges, granger, graph, preprocess, ranking, regression, validate
+from causeway.sources.adapters import EMB_SQL, EV_SQL, LI_SQL, embedding_long, embedding_series, event_replicates, supplier_replicates
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Series length of the embeddings, the threshold of dense and of sparse networks, and the gene of interest.
+POINTS, P_EDGE, P_NET, GOI = 64, 0.05, 0.002, 0
+
+_F = "(num * num / den) / (rss_r - num * num / den) * 60"
+#: All ordered pairs by a long self-join on time: another formulation than the kernel's.
+GC_SQL = f"""m AS ({EMB_SQL}),
+lagged AS (SELECT a.gene, a.t, a.value AS y, b.value AS l FROM m a JOIN m b ON a.gene = b.gene AND a.t = b.t + 1),
+cen AS (SELECT gene, t, y - avg(y) OVER (PARTITION BY gene) AS y, l - avg(l) OVER (PARTITION BY gene) AS l FROM lagged),
+mom AS (SELECT gene, sum(y * y) AS yy, sum(l * l) AS ll, sum(y * l) AS yl FROM cen GROUP BY gene),
+dots AS (SELECT c.gene AS gene1, x.gene AS gene2, sum(c.l * x.y) AS xy, sum(c.l * x.l) AS xl
+         FROM cen c JOIN cen x ON c.t = x.t AND c.gene <> x.gene GROUP BY ALL),
+fits AS (SELECT gene1, gene2, xy - xl * b.yl / b.ll AS num, a.ll - xl * xl / b.ll AS den, b.yy - b.yl * b.yl / b.ll AS rss_r
+         FROM dots JOIN mom a ON a.gene = gene1 JOIN mom b ON b.gene = gene2),
+stat AS (SELECT gene1, gene2, {_F} AS f FROM fits),
+gc AS (SELECT gene1, gene2, f, {f_tail_sql("f", POINTS - 4)} AS p_value FROM stat)"""
+NET_SQL = f"{GC_SQL}, e AS (SELECT gene1, gene2, p_value FROM gc WHERE p_value <= {P_NET})"
+EDGE_SQL = f"{GC_SQL}, e AS (SELECT gene1, gene2, p_value FROM gc WHERE p_value <= {P_EDGE})"
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 8) for c in cols})
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def gc_edges(spark: SparkSession, sf_dir: str, p: float = P_EDGE) -> DataFrame:
+    return granger.granger(embedding_series(spark, sf_dir), max_p=p).select("gene1", "gene2", "p_value")
+
+
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse network, written once: graph operators read it many times."""
+    return graph._cut(gc_edges(spark, sf_dir, P_NET), "network")
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges over the first and the second half of the timeline, as two datasets."""
+    s = embedding_series(spark, sf_dir)
+    half = lambda lo: granger.granger(s.select("gene", F.slice("series", lo, POINTS // 2).alias("series")), max_p=0.01).select("gene1", "gene2", "p_value")
+    return half(1), half(POINTS // 2 + 1)
+
+
+def _half_sql(name: str, low: int) -> str:
+    sub = GC_SQL.replace(EMB_SQL, f"SELECT * FROM ({EMB_SQL}) WHERE t >= {low} AND t < {low + POINTS // 2}").replace("* 60", "* 28").replace(f_tail_sql("f", 60), f_tail_sql("f", 28))
+    return f"{name} AS (WITH {sub} SELECT gene1, gene2, p_value FROM gc WHERE p_value <= 0.01)"
+
+
+HALVES_SQL = f"{_half_sql('a', 0)}, {_half_sql('b', POINTS // 2)}"
+
+# --- Granger causality ---------------------------------------------------------------------
+
+
+@query(f"WITH {GC_SQL} SELECT gene1, gene2, round(f, 6) AS f_stat, round(p_value, 8) AS p_value FROM gc WHERE p_value <= {P_EDGE}")
+def gc_all_pairs_sig(spark, sf_dir):
+    e = granger.granger(embedding_series(spark, sf_dir), max_p=P_EDGE)
+    return e.select("gene1", "gene2", F.round("f_stat", 6).alias("f_stat"), F.round("p_value", 8).alias("p_value"))
+
+
+def _probes(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label = 0").select(F.col("vec_id").alias("gene"))
+
+
+@query(f"WITH {GC_SQL}, p AS (SELECT vec_id FROM embeddings WHERE label = 0) SELECT gene1, gene2, round(p_value, 8) AS p_value FROM gc WHERE p_value <= {P_EDGE} AND (gene1 IN (FROM p) OR gene2 IN (FROM p))")
+def gc_probe_design(spark, sf_dir):
+    e = granger.probe_granger(embedding_series(spark, sf_dir), _probes(spark, sf_dir), P_EDGE)
+    return rounded(e.select("gene1", "gene2", "p_value"), "p_value")
+
+
+@query("WITH p AS (SELECT vec_id FROM embeddings WHERE label = 0) SELECT a.vec_id AS gene1, b.vec_id AS gene2 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (FROM p) OR b.vec_id IN (FROM p)")
+def probe_pairs(spark, sf_dir):
+    return granger.probe_pairs(embedding_series(spark, sf_dir).select("gene"), _probes(spark, sf_dir))
+
+
+@query("WITH n AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS g FROM embeddings) SELECT n * (n - 1) AS all_pairs, 2 * g * n - g * g - g AS probe_pairs FROM n")
+def pair_counts(spark, sf_dir):
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = emb.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("g"))
+    return n.select((F.col("n") * (F.col("n") - 1)).alias("all_pairs"), (2 * F.col("g") * F.col("n") - F.col("g") * F.col("g") - F.col("g")).alias("probe_pairs"))
+
+
+@query(f"WITH {GC_SQL}, done AS (SELECT gene1, gene2 FROM gc WHERE p_value <= 0.01) SELECT gene1, gene2 FROM gc ANTI JOIN done USING (gene1, gene2) WHERE p_value <= {P_EDGE}")
+def gc_resume(spark, sf_dir):
+    e = graph._cut(gc_edges(spark, sf_dir), "gc")
+    return granger.resume(e, e.where("p_value <= 0.01")).select("gene1", "gene2")
+
+
+@query(f"WITH {GC_SQL}, med AS (SELECT gene1 AS gene, median(p_value) AS m FROM gc GROUP BY gene1) SELECT gene, round(m, 8) AS median_p FROM med")
+def noise_median_p(spark, sf_dir):
+    e = granger.granger(embedding_series(spark, sf_dir))
+    return e.groupBy(F.col("gene1").alias("gene")).agg(F.round(F.median("p_value"), 8).alias("median_p"))
+
+
+@query(f"WITH {GC_SQL}, per AS (SELECT gene1, median(p_value) AS m FROM gc GROUP BY gene1) SELECT round(median(m), 8) AS med, round(stddev_pop(m), 8) AS sd, (SELECT count(*) FROM gc WHERE p_value < 0.01) AS below FROM per")
+def noise_baseline(spark, sf_dir):
+    e = graph._cut(granger.granger(embedding_series(spark, sf_dir)), "noise")
+    per = e.groupBy("gene1").agg(F.median("p_value").alias("m")).agg(F.round(F.median("m"), 8).alias("med"), F.round(F.stddev_pop("m"), 8).alias("sd"))
+    return per.join(F.broadcast(e.agg(F.count_if(F.col("p_value") < 0.01).alias("below"))))
+
+
+# --- Preparation ---------------------------------------------------------------------------
+
+
+@query(f"WITH r AS ({LI_SQL}) SELECT gene, t, rep, round(ln(1 + value), 8) AS value FROM r")
+def prep_log1p(spark, sf_dir):
+    return rounded(preprocess.log1p(supplier_replicates(spark, sf_dir)), "value")
+
+
+@query(f"WITH r AS ({LI_SQL}) SELECT gene, t, rep, round(sqrt(value), 8) AS value FROM r")
+def prep_sqrt(spark, sf_dir):
+    return rounded(preprocess.square_root(supplier_replicates(spark, sf_dir)), "value")
+
+
+@query(f"WITH m AS ({EMB_SQL}), s AS (SELECT t, avg(value) AS mu, stddev_samp(value) AS sd FROM m GROUP BY t) SELECT gene, t, round(coalesce((value - mu) / nullif(sd, 0), 0), 6) AS value FROM m JOIN s USING (t)")
+def prep_zscore(spark, sf_dir):
+    return preprocess.zscore(embedding_long(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH r AS ({LI_SQL}), g AS (SELECT gene, exp(avg(ln(nullif(value, 0)))) AS gm FROM r GROUP BY gene), f AS (SELECT t, rep, quantile_cont(value / gm, 0.5) AS q FROM r JOIN g USING (gene) WHERE gm IS NOT NULL GROUP BY t, rep) SELECT gene, t, rep, round(value / CASE WHEN q > 0 THEN q ELSE 1 END, 6) AS value FROM r JOIN f USING (t, rep)")
+def prep_deseq(spark, sf_dir):
+    return preprocess.deseq(supplier_replicates(spark, sf_dir), ["t", "rep"]).select("gene", "t", "rep", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH r AS ({LI_SQL}) SELECT gene, t, round(avg(value), 8) AS value FROM r GROUP BY ALL")
+def agg_mean(spark, sf_dir):
+    return rounded(preprocess.aggregate_replicates(supplier_replicates(spark, sf_dir), "mean"), "value")
+
+
+@query(f"WITH r AS ({LI_SQL}) SELECT gene, t, round(median(value), 8) AS value FROM r GROUP BY gene, t")
+def agg_median(spark, sf_dir):
+    return rounded(preprocess.aggregate_replicates(supplier_replicates(spark, sf_dir), "median"), "value")
+
+
+@query(f"WITH r AS ({LI_SQL}), w AS (SELECT *, 1 / (1 + abs(value - median(value) OVER (PARTITION BY gene, t))) AS w FROM r) SELECT gene, t, round(sum(w * value) / sum(w), 6) AS value FROM w GROUP BY gene, t")
+def agg_robust(spark, sf_dir):
+    return preprocess.aggregate_replicates(supplier_replicates(spark, sf_dir), "robust").select("gene", "t", F.round("value", 6).alias("value"))
+
+
+_PART_SQL = "SELECT p_name AS gene, p_size AS t, p_retailprice AS value FROM part"
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("gene"), F.col("p_size").alias("t"), F.col("p_retailprice").alias("value"))
+
+
+for _how, _expr in {"mean": "avg(value)", "median": "median(value)"}.items():
+
+    def _collapse(spark, sf_dir, how=_how):
+        return preprocess.aggregate_replicates(_parts(spark, sf_dir), how).withColumn("value", F.round("value", 6))
+
+    QUERIES[f"collapse_dup_{_how}"] = _collapse
+    ORACLE_SQL[f"collapse_dup_{_how}"] = f"WITH r AS ({_PART_SQL}) SELECT gene, t, round({_expr}, 6) AS value FROM r GROUP BY gene, t"
+
+
+@query("SELECT p_name AS symbol, l_returnflag AS rep, round(sum(l_quantity), 4) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def id_symbol_map(spark, sf_dir):
+    li, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
+    # Summed by id before the join: the map then meets one row per id and replicate.
+    per_id = li.groupBy("l_partkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
+    named = per_id.join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("symbol")), "l_partkey")
+    return named.groupBy("symbol", F.col("l_returnflag").alias("rep")).agg(F.round(F.sum("q"), 4).alias("value"))
+
+
+@query(f"WITH r AS ({EV_SQL}), k AS (SELECT gene FROM r GROUP BY gene HAVING bool_or(value <> 0)) SELECT gene, t, rep, round(value, 6) AS value FROM r SEMI JOIN k USING (gene)")
+def drop_all_zero(spark, sf_dir):
+    return preprocess.drop_all_zero(event_replicates(spark, sf_dir)).select("gene", "t", "rep", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH r AS ({EV_SQL}), s AS (SELECT gene, t, sum(value) AS value FROM r GROUP BY gene, t) SELECT g.gene, p.t, round(coalesce(s.value, 0), 6) AS value FROM (SELECT DISTINCT gene FROM r) g CROSS JOIN (SELECT DISTINCT t FROM r) p LEFT JOIN s ON s.gene = g.gene AND s.t = p.t")
+def grid_fill(spark, sf_dir):
+    m = event_replicates(spark, sf_dir)
+    return preprocess.fill_grid(m, m, m).select("gene", F.col("t"), F.round("value", 6).alias("value"))
+
+
+@query(f"WITH r AS ({LI_SQL}), x AS (SELECT min(value) AS lo, max(value) AS hi FROM r) SELECT gene, t, rep, round(coalesce((value - lo) / nullif(hi - lo, 0), 0), 8) AS value FROM r, x")
+def prep_min_max(spark, sf_dir):
+    return rounded(preprocess.min_max(supplier_replicates(spark, sf_dir)), "value")
+
+
+# --- Edge tables ---------------------------------------------------------------------------
+
+
+@query(f"WITH {EDGE_SQL}, x AS (SELECT gene1 AS gene, 0 AS i, 1 AS o FROM e UNION ALL SELECT gene2, 1, 0 FROM e UNION ALL SELECT vec_id, 0, 0 FROM embeddings) SELECT gene, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, sum(i + o)::BIGINT AS total_degree FROM x GROUP BY gene")
+def degrees(spark, sf_dir):
+    return edges.degrees(gc_edges(spark, sf_dir), embedding_series(spark, sf_dir))
+
+
+@query(f"WITH {EDGE_SQL} SELECT count(*) AS n_edges, count(DISTINCT gene1) AS sources, count(DISTINCT gene2) AS targets, (SELECT count(*) FROM (SELECT gene1 FROM e UNION SELECT gene2 FROM e)) AS n_genes FROM e")
+def degree_summary(spark, sf_dir):
+    e = graph._cut(gc_edges(spark, sf_dir), "edges")
+    own = e.agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("gene1").alias("sources"), F.countDistinct("gene2").alias("targets"))
+    return own.join(F.broadcast(edges.nodes(e).agg(F.count(F.lit(1)).alias("n_genes"))))
+
+
+@query(f"WITH {EDGE_SQL} SELECT gene1, gene2 FROM e WHERE p_value < 0.001")
+def edges_strict(spark, sf_dir):
+    return edges.strict_below(gc_edges(spark, sf_dir), 0.001).select("gene1", "gene2")
+
+
+@query(f"WITH {EDGE_SQL} SELECT gene1, gene2 FROM e WHERE p_value <= 0.001 OR ((gene1 = 0 OR gene2 = 0) AND p_value <= 0.02)")
+def edges_dual_threshold(spark, sf_dir):
+    return edges.dual_threshold(gc_edges(spark, sf_dir), 0.001, [GOI], 0.02).select("gene1", "gene2")
+
+
+@query("SELECT o_custkey AS gene1, l_suppkey AS gene2, round(arg_max(l_discount, l_orderkey * 10 + l_linenumber + l_discount), 8) AS p_value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def edges_last_wins(spark, sf_dir):
+    li, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    e = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("gene1"), F.col("l_suppkey").alias("gene2"), F.col("l_discount").alias("p_value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber") + F.col("l_discount")).alias("pos"))
+    return rounded(edges.digraph(e, "pos"), "p_value")
+
+
+@query(f"WITH {EDGE_SQL} SELECT gene2 AS gene FROM e WHERE gene1 = 0 UNION SELECT gene1 FROM e WHERE gene2 = 0")
+def neighbours(spark, sf_dir):
+    return edges.neighbours(gc_edges(spark, sf_dir), GOI)
+
+
+@query(f"WITH {EDGE_SQL}, n AS (SELECT gene2 AS gene FROM e WHERE gene1 = 0 UNION SELECT gene1 FROM e WHERE gene2 = 0 UNION SELECT 0) SELECT gene1, gene2 FROM e WHERE gene1 IN (FROM n) AND gene2 IN (FROM n)")
+def ego_network(spark, sf_dir):
+    return edges.ego_network(graph._cut(gc_edges(spark, sf_dir), "edges"), GOI).select("gene1", "gene2")
+
+
+@query(f"WITH {EDGE_SQL}, a AS (SELECT gene2 AS gene FROM e WHERE gene1 = 0 UNION SELECT gene1 FROM e WHERE gene2 = 0), b AS (SELECT gene2 AS gene FROM e WHERE gene1 = 1 UNION SELECT gene1 FROM e WHERE gene2 = 1) SELECT coalesce(a.gene, b.gene) AS gene, CASE WHEN b.gene IS NULL THEN 'only_a' WHEN a.gene IS NULL THEN 'only_b' ELSE 'shared' END AS side FROM a FULL JOIN b ON a.gene = b.gene")
+def neighbours_compare(spark, sf_dir):
+    return edges.compare_neighbours(graph._cut(gc_edges(spark, sf_dir), "edges"), 0, 1)
+
+
+for _mode, _op in {"both": "AND", "any": "OR"}.items():
+
+    def _connect(spark, sf_dir, mode=_mode):
+        return edges.connection(gc_edges(spark, sf_dir), _probes(spark, sf_dir), mode).select("gene1", "gene2")
+
+    QUERIES[f"connection_{_mode}"] = _connect
+    ORACLE_SQL[f"connection_{_mode}"] = f"WITH {EDGE_SQL}, p AS (SELECT vec_id FROM embeddings WHERE label = 0) SELECT gene1, gene2 FROM e WHERE gene1 IN (FROM p) {_op} gene2 IN (FROM p)"
+
+
+@query(f"WITH {HALVES_SQL} SELECT a.gene1, a.gene2, round(a.p_value, 8) AS p_a, round(b.p_value, 8) AS p_b FROM a JOIN b ON a.gene1 = b.gene1 AND a.gene2 = b.gene2")
+def edges_intersection(spark, sf_dir):
+    return rounded(edges.intersect(*halves(spark, sf_dir)), "p_a", "p_b")
+
+
+@query(f"WITH {HALVES_SQL}, n AS (SELECT gene1 AS g FROM a WHERE p_value <= 0.001 UNION SELECT gene2 FROM a WHERE p_value <= 0.001) SELECT gene1, gene2 FROM b WHERE gene1 NOT IN (FROM n) OR gene2 NOT IN (FROM n)")
+def new_nodes_edges(spark, sf_dir):
+    a, b = (graph._cut(x, "half") for x in halves(spark, sf_dir))
+    return edges.new_edges(a.where("p_value <= 0.001"), b).select("gene1", "gene2")
+
+
+@query(f"WITH {EDGE_SQL} SELECT least(gene1, gene2) AS u, greatest(gene1, gene2) AS v, round(min(p_value), 8) AS w FROM e GROUP BY ALL")
+def undirected_min_weight(spark, sf_dir):
+    return rounded(edges.undirected(gc_edges(spark, sf_dir)), "w")
+
+
+@query(f"WITH {EDGE_SQL}, u AS (SELECT DISTINCT least(gene1, gene2) AS u, greatest(gene1, gene2) AS v FROM e WHERE p_value <= 0.001) SELECT gene1, gene2 FROM e JOIN u ON u = least(gene1, gene2) AND v = greatest(gene1, gene2)")
+def redirect_pairs(spark, sf_dir):
+    e = graph._cut(gc_edges(spark, sf_dir), "edges")
+    return edges.redirect(edges.undirected(e.where("p_value <= 0.001")), e).select("gene1", "gene2")
+
+
+@query(f"WITH {EDGE_SQL}, p AS (SELECT vec_id FROM embeddings WHERE label = 0) SELECT gene1, gene2 FROM e WHERE (gene1 IN (FROM p) AND gene2 IN (FROM p) AND p_value <= 0.02) OR p_value <= 0.001")
+def candidate_graph(spark, sf_dir):
+    e = graph._cut(gc_edges(spark, sf_dir), "edges")
+    return edges.candidates(e, _probes(spark, sf_dir), 0.02, 0.001).select("gene1", "gene2")
+
+
+@query(f"WITH {EDGE_SQL} SELECT gene1 AS gene FROM e WHERE p_value <= 0.001 UNION SELECT gene2 FROM e WHERE p_value <= 0.001 UNION SELECT vec_id FROM embeddings WHERE label = 0")
+def expanded_genes(spark, sf_dir):
+    return edges.nodes(gc_edges(spark, sf_dir, 0.001)).union(_probes(spark, sf_dir)).distinct()
+
+
+# --- Graphs --------------------------------------------------------------------------------
+
+_REACH = "reach(gene, other) AS (SELECT gene, gene FROM g UNION SELECT reach.gene, s.v FROM reach JOIN s ON s.u = reach.other)"
+_SYM = "s AS (SELECT gene1 AS u, gene2 AS v FROM e UNION SELECT gene2, gene1 FROM e), g AS (SELECT DISTINCT u AS gene FROM s)"
+
+
+@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, {_REACH} SELECT gene, min(other) AS component FROM reach GROUP BY gene")
+def wcc(spark, sf_dir):
+    return graph.components(network(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, h(gene, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT s.v, hops + 1 FROM h JOIN s ON s.u = h.gene WHERE hops < 3) SELECT gene, min(hops) AS hops FROM h GROUP BY gene")
+def khop(spark, sf_dir):
+    return graph.hops(network(spark, sf_dir), spark.createDataFrame([(GOI,)], "gene long"), 3)
+
+
+@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, h(gene) AS (SELECT 0::BIGINT UNION SELECT s.v FROM h JOIN s ON s.u = h.gene) SELECT gene1, gene2 FROM e WHERE gene1 IN (FROM h)")
+def edges_expand_fixpoint(spark, sf_dir):
+    return graph.expand(network(spark, sf_dir), spark.createDataFrame([(GOI,)], "gene long"), P_NET).select("gene1", "gene2")
+
+
+@query()
+def minsum_dist(spark, sf_dir):
+    return rounded(graph.distances(network(spark, sf_dir), GOI), "dist")
+
+
+@query()
+def minmax_dist(spark, sf_dir):
+    return rounded(graph.distances(network(spark, sf_dir), GOI, bottleneck=True), "dist")
+
+
+@query()
+def spanning_forest(spark, sf_dir):
+    return rounded(graph.spanning_forest(network(spark, sf_dir)), "w")
+
+
+@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, {_REACH}, c AS (SELECT gene, min(other) AS c FROM reach GROUP BY gene), z AS (SELECT c, count(*) AS n FROM c GROUP BY c), k AS (SELECT sum(n)::BIGINT AS n_nodes, count(*) AS n_components, max(n) AS largest FROM z) m AS (SELECT count(*) AS n_edges, count(*) FILTER (gene1 = 0) AS out_degree, count(*) FILTER (gene2 = 0) AS in_degree FROM e) SELECT *, round(n_edges / (n_nodes * (n_nodes - 1)), 8) AS density, round(2 * n_edges / n_nodes, 8) AS avg_degree FROM k, m")
+def network_summary(spark, sf_dir):
+    return rounded(graph.summary(network(spark, sf_dir), GOI), "density", "avg_degree")
+
+
+# --- Partitions, rankings, comparison ------------------------------------------------------
+
+RUNS = 20
+#: Partitions by a rule, so that SQL can make the same ones.
+PARTS_SQL = f"parts AS (SELECT r AS run, vec_id AS gene, (vec_id * (2 * r + 1) + r) % (2 + r % 9) AS community FROM embeddings, range({RUNS}) x(r))"
+FREQ_SQL = f"{PARTS_SQL}, home AS (SELECT run, community FROM parts WHERE gene = 0), freq AS (SELECT p.gene, count(home.run) / {RUNS} AS frequency FROM parts p LEFT JOIN home ON p.run = home.run AND p.community = home.community GROUP BY p.gene)"
+
+
+def _partitions(spark, sf_dir, runs: int = RUNS) -> DataFrame:
+    genes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("gene"))
+    rows = genes.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
+    return rows.select("run", "gene", ((F.col("gene") * (2 * F.col("run") + 1) + F.col("run")) % (2 + F.col("run") % 9)).alias("community"))
+
+
+def _frequency(spark, sf_dir, runs: int = RUNS) -> DataFrame:
+    return community.goi_frequency(_partitions(spark, sf_dir, runs), GOI)
+
+
+@query(f"WITH {FREQ_SQL} SELECT gene, round(frequency, 8) AS frequency FROM freq")
+def goi_frequency(spark, sf_dir):
+    return rounded(_frequency(spark, sf_dir), "frequency")
+
+
+@query(f"WITH {PARTS_SQL} SELECT x.gene AS a, y.gene AS b, count(*) AS n FROM parts x JOIN parts y ON x.run = y.run AND x.community = y.community AND x.gene <= y.gene GROUP BY ALL")
+def coassociation(spark, sf_dir):
+    return community.coassociation(_partitions(spark, sf_dir))
+
+
+@query(f"WITH {PARTS_SQL}, k AS (SELECT run, count(DISTINCT community) AS k FROM parts GROUP BY run), home AS (SELECT run, community FROM parts WHERE gene = 0), s AS (SELECT run, count(*) AS s FROM parts SEMI JOIN home USING (run, community) GROUP BY run) SELECT round(avg(k), 8) AS avg_k, min(k) AS min_k, max(k) AS max_k, round(avg(s), 8) AS avg_home, min(s) AS min_home, max(s) AS max_home FROM k LEFT JOIN s USING (run)")
+def partition_metrics(spark, sf_dir):
+    return rounded(community.partition_metrics(_partitions(spark, sf_dir), GOI), "avg_k", "avg_home")
+
+
+@query(f"WITH {FREQ_SQL} SELECT count(*) AS n, round(max(frequency), 8) AS max_f, round(avg(frequency), 8) AS mean_f, round((SELECT avg(f) FROM (SELECT frequency AS f FROM freq ORDER BY f DESC LIMIT (SELECT greatest(1, round_even(count(*) * 0.05, 0))::BIGINT FROM freq))), 8) AS top5_mean FROM freq")
+def frequency_metrics(spark, sf_dir):
+    return rounded(ranking.frequency_metrics(_frequency(spark, sf_dir)), "max_f", "mean_f", "top5_mean")
+
+
+_ORDER = "ORDER BY frequency DESC, lower(gene::VARCHAR), gene"
+
+
+@query(f"WITH {FREQ_SQL}, top AS (SELECT gene, frequency FROM freq {_ORDER} LIMIT (SELECT ceil(count(*) * 0.07)::BIGINT FROM freq)) SELECT gene, round(frequency, 8) AS frequency FROM (FROM top UNION SELECT gene, frequency FROM freq WHERE gene = 0)")
+def probe_top_percent(spark, sf_dir):
+    return rounded(ranking.top_percent(_frequency(spark, sf_dir), 7, GOI), "frequency")
+
+
+@query(f"WITH {FREQ_SQL} SELECT gene, round(frequency, 8) AS frequency FROM freq WHERE frequency >= 0.25 OR gene = 0")
+def probe_min_frequency(spark, sf_dir):
+    return rounded(ranking.min_frequency(_frequency(spark, sf_dir), 0.25, GOI), "frequency")
+
+
+@query(f"WITH {FREQ_SQL} SELECT gene, round(frequency, 8) AS frequency, CASE WHEN gene IN (SELECT vec_id FROM embeddings WHERE label = 0) THEN 0 ELSE 1 END AS is_new FROM freq")
+def annotate_new(spark, sf_dir):
+    return rounded(ranking.annotate_new(_frequency(spark, sf_dir), _probes(spark, sf_dir)), "frequency")
+
+
+@query(f"WITH {EDGE_SQL} SELECT round(quantile_cont(p_value, 0.25), 8) AS threshold FROM e")
+def p_quantile_threshold(spark, sf_dir):
+    return rounded(ranking.lower_quantile(gc_edges(spark, sf_dir), 0.25), "threshold")
+
+
+@query()
+def quantile_relationships(spark, sf_dir):
+    e = graph._cut(gc_edges(spark, sf_dir), "edges")
+    return rounded(ranking.goi_relationships(e, GOI, [0.1, 0.5, 1.0]), "threshold")
+
+
+ORACLE_SQL["quantile_relationships"] = f"WITH {EDGE_SQL}, q AS (" + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, quantile_cont(p_value, {q}) AS threshold FROM e" for q in (0.1, 0.5, 1.0)) + ") SELECT q, round(threshold, 8) AS threshold, count(*) AS selected, count(*) FILTER (gene1 = 0) AS outgoing, count(*) FILTER (gene2 = 0) AS incoming, count(DISTINCT CASE WHEN gene1 = 0 THEN gene2 WHEN gene2 = 0 THEN gene1 END) AS related FROM e JOIN q ON p_value <= threshold GROUP BY q, threshold"
+
+
+@query(f"WITH {GC_SQL} SELECT least(floor(p_value * 20), 19)::INT AS bin, count(*) AS n FROM gc GROUP BY ALL")
+def p_histogram(spark, sf_dir):
+    return ranking.histogram(granger.granger(embedding_series(spark, sf_dir)))
+
+
+_TWO = FREQ_SQL + ", " + FREQ_SQL.replace("parts", "parts2").replace("home", "home2").replace("freq AS", "freq2 AS").replace(f"range({RUNS})", f"range({RUNS + 5})").replace(f"/ {RUNS} ", f"/ {RUNS + 5} ")
+
+
+@query(f"WITH {_TWO}, j AS (SELECT quantile_cont(abs(a.frequency - b.frequency) / greatest(a.frequency, 1e-9), 0.9) AS r, count(*) AS n FROM freq a JOIN freq2 b USING (gene)), k AS (SELECT greatest(1, round_even(count(*) * 0.05, 0))::BIGINT AS k FROM freq), o AS (SELECT count(*) AS c FROM (SELECT gene FROM freq ORDER BY frequency DESC, gene LIMIT (SELECT k FROM k)) JOIN (SELECT gene FROM freq2 ORDER BY frequency DESC, gene LIMIT (SELECT k FROM k)) USING (gene)) SELECT round(r, 8) AS rel_change, n AS n_common, round(100.0 * c / k, 8)::DOUBLE AS overlap FROM j, k, o")
+def stability_metrics(spark, sf_dir):
+    return rounded(ranking.stability(_frequency(spark, sf_dir), _frequency(spark, sf_dir, RUNS + 5)), "rel_change", "overlap")
+
+
+@query(f"WITH {_TWO} SELECT coalesce(a.gene, b.gene) AS gene, round(a.frequency, 8) AS prev_f, round(b.frequency, 8) AS curr_f, (a.gene IS NOT NULL)::INT AS in_prev, (b.gene IS NOT NULL)::INT AS in_curr, round(abs(a.frequency - b.frequency), 8) AS abs_diff FROM freq a FULL JOIN freq2 b ON a.gene = b.gene")
+def frequency_diff(spark, sf_dir):
+    return rounded(ranking.frequency_diff(_frequency(spark, sf_dir), _frequency(spark, sf_dir, RUNS + 5)), "prev_f", "curr_f", "abs_diff")
+
+
+@query(f"WITH {HALVES_SQL} SELECT count(*) FILTER (a.gene1 IS NOT NULL AND b.gene1 IS NOT NULL) AS shared, count(*) FILTER (b.gene1 IS NULL) AS missing, count(*) FILTER (a.gene1 IS NULL) AS extra, count(*) FILTER (abs(a.p_value - b.p_value) > 0.001) AS p_differs, round(max(abs(a.p_value - b.p_value)), 8) AS max_diff, count(*) FILTER ((a.p_value <= 0.005) <> (b.p_value <= 0.005)) AS flips FROM a FULL JOIN b ON a.gene1 = b.gene1 AND a.gene2 = b.gene2")
+def gc_parity(spark, sf_dir):
+    return rounded(ranking.edge_parity(*halves(spark, sf_dir), 0.001, 0.005), "max_diff")
+
+
+# --- Regression and validation -------------------------------------------------------------
+
+_YEARS = "y AS (SELECT l_suppkey AS gene, year(l_shipdate) - 1992 AS t, sum(l_quantity) AS value FROM lineitem GROUP BY ALL), n AS (SELECT count(DISTINCT t) AS n FROM y)"
+
+
+def _yearly(spark, sf_dir) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.groupBy(F.col("l_suppkey").alias("gene"), (F.year("l_shipdate") - 1992).alias("t")).agg(F.sum("l_quantity").alias("value"))
+
+
+@query(f"WITH {_YEARS} SELECT gene, round(regr_slope(value, t), 6) AS slope, round(regr_intercept(value, t), 6) AS intercept, round(regr_r2(value, t), 6) AS r2 FROM y GROUP BY gene HAVING count(*) = (SELECT n FROM n)")
+def ols_time_model(spark, sf_dir):
+    m = graph._cut(_yearly(spark, sf_dir), "yearly")
+    points = m.agg(F.countDistinct("t")).first()[0]
+    r = regression.linear_time(m, points)
+    return r.select("gene", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
+
+
+@query(f"WITH {_YEARS}, j AS (SELECT y.gene, y.t, y.value AS v, x.value AS x FROM y JOIN y x ON x.gene = 1 AND x.t = y.t AND y.gene <> 1), c AS (SELECT gene, covar_pop(t, v) AS tv, covar_pop(t, x) AS tx, covar_pop(x, v) AS xv, var_pop(t) AS tt, var_pop(x) AS xx, var_pop(v) AS vv FROM j GROUP BY gene) SELECT gene, round((xv - tx * tv / tt) / (xx - tx * tx / tt), 6) AS coef, round((tv * tv / tt + (xv - tx * tv / tt) * (xv - tx * tv / tt) / (xx - tx * tx / tt)) / nullif(vv, 0), 6) AS r2 FROM c")
+def ols_predictor(spark, sf_dir):
+    r = regression.with_predictor(graph._cut(_yearly(spark, sf_dir), "yearly"), 1)
+    return r.select("gene", F.round("coef", 6).alias("coef"), F.round("r2", 6).alias("r2"))
+
+
+@query(f"WITH m AS ({EMB_SQL}), g AS (SELECT gene, count(*) AS n, count(DISTINCT t) AS d, min(value) AS lo, count(*) FILTER (value IS NULL) AS missing FROM m GROUP BY gene) SELECT count(*) AS n_genes, min(d) AS min_points, count(*) FILTER (n <> d) AS duplicated, count(*) FILTER (lo < 0) AS negative, sum(missing)::BIGINT AS missing FROM g")
+def validate_matrix(spark, sf_dir):
+    return validate.matrix(embedding_long(spark, sf_dir))
+
+
+@query(f"WITH {EDGE_SQL} SELECT count(*) AS n_rows, count(*) FILTER (gene1 = gene2) AS self_pairs, count(*) FILTER (p_value IS NULL) AS missing, count(*) FILTER (p_value NOT BETWEEN 0 AND 1) AS out_of_range FROM e")
+def validate_edges(spark, sf_dir):
+    return validate.edge_table(gc_edges(spark, sf_dir))
+
+
+@query(f"WITH {FREQ_SQL} SELECT count(*) AS n_rows, count(*) FILTER (frequency NOT BETWEEN 0 AND 1) AS out_of_range, max((gene = 0)::INT) AS has_goi FROM freq")
+def validate_frequency(spark, sf_dir):
+    return validate.frequency_table(_frequency(spark, sf_dir), GOI)
+
+
+# --- Without an oracle: seeded and iterative -----------------------------------------------
+
+
+@query()
+def louvain_runs(spark, sf_dir):
+    return community.louvain_runs(spark, network(spark, sf_dir), 0, 8)
+
+
+@query()
+def stable_consensus(spark, sf_dir):
+    return community.stable_consensus(spark, network(spark, sf_dir), GOI, start=8, max_runs=20)
+
