@@ -269,7 +269,7 @@ class Model:
         return "\n\n".join(self.contents(parse(page))) if page else ""
 
 
-def train(labelled: list[tuple[list[Node], list[int]]], rounds: int = 1500, decay: float = 1e-4) -> Model:
+def train(labelled: list[tuple[list[Node], list[int]]], rounds: int = 400, decay: float = 1e-3) -> Model:
     """Maximum pseudo-likelihood: each label given its own features and its neighbours' labels."""
     xs, ys, agree = [], [], []
     for nodes, labels in labelled:
