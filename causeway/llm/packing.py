@@ -22,21 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
 
 #: Entries in a worker's memory of encoded chunks; a full memory is emptied, not the data.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 
 #: A chunk that is a run of ASCII or Latin-1 letters with at most one comma or full stop.
 SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
 
 
-class ChunkEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+class ChunkEncoder(dict):
+    """Token ids of white-space separated chunks, as little-endian unsigned 32-bit bytes.
 
     The word tokenizer splits at white space before it merges, so a text's ids are those of
     its ASCII-white-space separated chunks, and each distinct chunk is encoded once. Chunks
@@ -47,53 +47,45 @@ class ChunkEncoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.merge = self.tokenizer.model.tokenize
-        self.cache: dict[bytes, bytes] = {}
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.mapped = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         # Plain letters may skip the pipeline only where the pipeline is the known one.
-        self.direct = self.full(["Étéß"]) == [self.letters("Étéß".encode())]
-
-    def full(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def letters(self, chunk: bytes) -> bytes:
-        word = chunk.lower().decode()
-        if not word.isascii():
-            word = word.lower().translate(self.mapped)
-        return np.array([t.id for t in self.merge(word)], dtype="<u4").tobytes()
-
-    def learn(self, chunks: list[bytes]) -> None:
-        cache, rest = self.cache, []
-        for chunk in chunks:
-            m = SIMPLE.fullmatch(chunk) if self.direct else None
-            if not m:
-                rest.append(chunk)
-                continue
+        self.direct = self.full("Étéß".encode()) == self.letters("étéß".encode())
+
+    def full(self, chunk: bytes) -> bytes:
+        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+        return np.asarray(ids, dtype="<u4").tobytes()
+
+    def letters(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not text.isascii():
+            text = text.lower().translate(self.mapped)
+        of = self.bytes_of
+        return b"".join([of[t.id] for t in self.merge(text)])
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        m = SIMPLE.fullmatch(chunk) if self.direct else None
+        if not m:
+            ids = self.full(chunk)
+        else:
             word, mark = m.groups()
-            ids = cache.get(word)
+            word = word.lower()  # ASCII only; letters() does the rest
+            ids = self.get(word)
             if ids is None:
-                ids = cache[word] = self.letters(word)
+                ids = self[word] = self.letters(word)
             if mark:
-                tail = cache.get(mark)
-                if tail is None:
-                    tail = cache[mark] = self.full([mark.decode()])[0]
-                cache[chunk] = ids + tail
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            cache.update(zip(part, self.full([c.decode() for c in part]), strict=True))
+                ids += self.get(mark) or self.setdefault(mark, self.full(mark))
+        self[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        chunks = text.encode().split()
-        try:
-            return b"".join([self.cache[c] for c in chunks])
-        except KeyError:
-            distinct = set(chunks)
-            if len(self.cache) + len(distinct) > CACHE_ENTRIES:
-                self.cache.clear()
-            self.learn([c for c in distinct if c not in self.cache])
-            return b"".join([self.cache[c] for c in chunks])
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -192,11 +184,12 @@ def _packed(shards: DataFrame, budget: int) -> DataFrame:
     return shards.groupBy("shard").applyInPandas(pack, "key long, shard long, length long, bin long, offset long, gap long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, budget: int = 4096, end_id: int = 1, shard_pieces: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, budget: int = 4096, end_id: int = 1, shard_pieces: int = 8192, id_col: str = "doc_id", text_col: str = "text", derive: dict[str, Column] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, tokens, sequence_id, offset.
 
     ``tokens`` are the piece's ids as little-endian uint32; sequence ids are unique numbers
-    without order. Pieces of a whole budget are sequences of their own.
+    without order. Pieces of a whole budget are sequences of their own. ``derive`` names
+    columns to be made of a piece instead of ``tokens``, which then stay where they are.
     """
     # The key is made before the write, so that it is fixed from there on.
     pieces = written(token_pieces(docs, tokenizer_file, budget, end_id, id_col, text_col).withColumn("key", F.monotonically_increasing_id()), "pieces")
@@ -217,6 +210,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, budget: int = 4096, end
         again = _packed(dealt(first.where(bad).select("key", "length"), n_again, n_shards), budget)
         plan = first.where(~bad).unionByName(again)
     plan = plan.select("key", (F.shiftleft(F.col("shard"), 32) + F.col("bin")).alias("sequence_id"), "offset")
+    if derive is not None:
+        pieces = pieces.withColumns(derive).drop("tokens")
     return (
         pieces.join(plan, "key", "left")
         .withColumn("sequence_id", F.coalesce("sequence_id", -F.col("key") - 1))
