@@ -324,7 +324,7 @@ def spanning_forest(spark, sf_dir):
     return rounded(graph.spanning_forest(network(spark, sf_dir)), "w")
 
 
-@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, {_REACH}, c AS (SELECT gene, min(other) AS c FROM reach GROUP BY gene), z AS (SELECT c, count(*) AS n FROM c GROUP BY c), k AS (SELECT sum(n)::BIGINT AS n_nodes, count(*) AS n_components, max(n) AS largest FROM z) m AS (SELECT count(*) AS n_edges, count(*) FILTER (gene1 = 0) AS out_degree, count(*) FILTER (gene2 = 0) AS in_degree FROM e) SELECT *, round(n_edges / (n_nodes * (n_nodes - 1)), 8) AS density, round(2 * n_edges / n_nodes, 8) AS avg_degree FROM k, m")
+@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, {_REACH}, c AS (SELECT gene, min(other) AS c FROM reach GROUP BY gene), z AS (SELECT c, count(*) AS n FROM c GROUP BY c), k AS (SELECT sum(n)::BIGINT AS n_nodes, count(*) AS n_components, max(n) AS largest FROM z), cnt AS (SELECT count(*) AS n_edges, count(*) FILTER (gene1 = 0) AS out_degree, count(*) FILTER (gene2 = 0) AS in_degree FROM e) SELECT *, round(n_edges / (n_nodes * (n_nodes - 1)), 8) AS density, round(2 * n_edges / n_nodes, 8) AS avg_degree FROM k, cnt")
 def network_summary(spark, sf_dir):
     return rounded(graph.summary(network(spark, sf_dir), GOI), "density", "avg_degree")
 

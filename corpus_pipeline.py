@@ -42,8 +42,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens, as placed pieces."""
     import public_tokenizers
 
-    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
+    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), derive={"ids_crc32": F.crc32("tokens")})
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
