@@ -19,6 +19,7 @@ from .neighbours import nearest
 from .packing import pack_documents
 from .quality import judge
 from .suffixes import drop_repeats
+from .units import drop_repeated_units
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +108,30 @@ def op6_mixing_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
+    chars = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]), F.lit(0).cast("long"))
+    return done.select("doc_id", "n_units", count.alias("n_removed"), chars.alias("removed_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, l[i] AS line,
+         trim(regexp_replace(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l,
+               unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+ranked AS (
+  SELECT *, len(string_split(key, ' ')) >= 8
+            AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS gone FROM lines)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+       coalesce(sum(length(line)) FILTER (gone), 0)::BIGINT AS removed_chars,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -188,4 +213,5 @@ QUERIES = {
 QUERIES["op9_suffix_array_dedup"] = op9_suffix_array_dedup
 QUERIES["op10_ngram_jaccard_join"] = op10_ngram_jaccard_join
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+QUERIES["op7_substring_dedup"] = op7_substring_dedup
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from causeway.llm import chat, html, html_training, jaccard, lines, mixing, neighbours, packing, quality, suffixes
+from causeway.llm import chat, html, html_training, jaccard, lines, mixing, neighbours, packing, quality, suffixes, units
 
 DOCS = "doc_id long, text string, source string, n_lines string"
 WORDS = " ".join(f"w{i}" for i in range(80))
@@ -150,6 +150,15 @@ def test_jaccard(spark, docs, none):
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.one_of_each(docs).columns == docs.columns
 
 
+def test_units(spark, docs, none):
+    long = "One two three four five six seven Eight"
+    rows = [(3, f"{long}\nkeep this"), (1, f"own line\n  one two  three four five six seven eight "), (2, f"{long}\n{long}\nx")]
+    got = {r.doc_id: r for r in units.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].removed is None and got[3].kept_text == "keep this" and got[2].kept_text == "x"
+    assert [(r.start, r.end) for r in got[2].removed] == [(0, len(long)), (len(long) + 1, 2 * len(long) + 1)]
+    assert units.drop_repeated_units(docs).count() == len(ROWS) and units.drop_repeated_units(none).count() == 0
+
+
 def test_suffixes(spark, none):
     rng = np.random.default_rng(9)
     base = "".join(rng.choice(list("abé \n"), 400))
