@@ -140,3 +140,73 @@ def stable_consensus(spark: SparkSession, e: DataFrame, gene, start: int = 20, g
         more = max(1, int(runs * growth))
         parts = parts.unionByName(_cut(louvain_runs(spark, e, runs, runs + more), "runs"))
         runs, previous = runs + more, freq
+
+
+def edge_betweenness(near: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+    """Shares of all shortest paths that use each undirected edge."""
+    load = dict.fromkeys(((a, b) for a in near for b in near[a] if a < b), 0.0)
+    for source in near:
+        level, ways, order = {source: 0}, {source: 1.0}, [source]
+        for x in order:
+            for y in near[x]:
+                if y not in level:
+                    level[y], ways[y] = level[x] + 1, 0.0
+                    order.append(y)
+                if level[y] == level[x] + 1:
+                    ways[y] += ways[x]
+        owed = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x in near[y]:
+                if level[x] == level[y] - 1:
+                    part = ways[x] / ways[y] * (1.0 + owed[y])
+                    load[min(x, y), max(x, y)] += part
+                    owed[x] += part
+    return load
+
+
+def girvan_newman(e: DataFrame, k: int, max_edges: int = 20_000) -> DataFrame:
+    """(gene, community): edges of highest betweenness go until ``k`` communities remain.
+
+    Each removal needs the whole graph, so this is for small ones: one task, size checked.
+    Ties go to the smaller edge; fewer genes than ``k``: no rows.
+    """
+    rows = e.select(F.least("gene1", "gene2").alias("u"), F.greatest("gene1", "gene2").alias("v")).where("u <> v").distinct()
+    if rows.limit(max_edges + 1).count() > max_edges:
+        raise ValueError(f"more than {max_edges} edges: lower the threshold")
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, flat = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+        near: dict[int, set[int]] = {i: set() for i in range(len(names))}
+        for a, b in flat.reshape(-1, 2).tolist():
+            near[a].add(b)
+            near[b].add(a)
+        while True:
+            label: dict[int, int] = {}
+            for i in near:
+                if i not in label:
+                    label[i], todo = i, [i]
+                    for x in todo:
+                        for y in near[x] - label.keys():
+                            label[y] = i
+                            todo.append(y)
+            found = sorted(set(label.values()))
+            load = edge_betweenness(near) if len(found) < k else {}
+            if not load:
+                break
+            a, b = min(load, key=lambda x: (-round(load[x], 9), x))
+            near[a].discard(b)
+            near[b].discard(a)
+        keep = len(found) >= k
+        number = {c: j for j, c in enumerate(found)}
+        return pd.DataFrame({"gene": names[: len(names) * keep], "community": [number[label[i]] for i in near][: len(names) * keep]})
+
+    kind = e.schema["gene1"].dataType.simpleString()
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: split(pdf), f"gene {kind}, community long")
+
+
+def reduce_communities(parts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` largest communities stay; genes of others join the smallest kept number."""
+    kept = parts.groupBy("community").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "community").limit(k).select("community")
+    low = kept.agg(F.min("community").alias("low"))
+    tagged = parts.join(F.broadcast(kept.withColumn("hit", F.lit(True))), "community", "left").join(F.broadcast(low))
+    return tagged.select("gene", F.when(F.col("hit"), F.col("community")).otherwise(F.col("low")).alias("community"))

@@ -105,3 +105,125 @@ def summary(e: DataFrame, gene) -> DataFrame:
     parts = comp.agg(F.sum("n").alias("n_nodes"), F.count(F.lit(1)).alias("n_components"), F.max("n").alias("largest"))
     own = e.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("gene1") == gene).alias("out_degree"), F.count_if(F.col("gene2") == gene).alias("in_degree"))
     return parts.join(F.broadcast(own)).withColumns({"density": F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), "avg_degree": 2 * F.col("n_edges") / F.col("n_nodes")})
+
+
+def _lowest_forward(links: DataFrame, genes: DataFrame) -> DataFrame:
+    """(gene, c): the smallest gene that reaches a gene along (u, v), itself included."""
+    labels = genes.select("gene", F.col("gene").alias("c"))
+    front = labels
+    while True:
+        sent = links.join(front.withColumnRenamed("gene", "u"), "u").groupBy(F.col("v").alias("gene")).agg(F.min("c").alias("new"))
+        both = _cut(labels.join(sent, "gene", "left").select("gene", F.least("c", "new").alias("c"), F.coalesce(F.col("new") < F.col("c"), F.lit(False)).alias("moved")), "forward")
+        labels, front = both.select("gene", "c"), both.where("moved").select("gene", "c")
+        if front.isEmpty():
+            return labels
+
+
+def strong_components(e: DataFrame) -> DataFrame:
+    """(gene, component): strong components, named by their smallest gene.
+
+    Colouring: a gene takes the smallest gene that reaches it; what reaches the colour's own
+    gene inside the colour is that gene's component. It leaves, and the rest is coloured again.
+    Genes without edges into or out of the rest are components of their own and leave first.
+    """
+    links = _cut(e.select(F.col("gene1").alias("u"), F.col("gene2").alias("v")).where("u <> v").distinct(), "links")
+    genes = _cut(e.select(F.col("gene1").alias("gene")).union(e.select("gene2")).distinct(), "genes")
+    done = genes.select("gene", F.col("gene").alias("component")).limit(0)
+    while not genes.isEmpty():
+        core = genes.join(links.select(F.col("u").alias("gene")), "gene", "left_semi").join(links.select(F.col("v").alias("gene")), "gene", "left_semi")
+        core = _cut(core, "core")
+        found = genes.join(core, "gene", "left_anti").select("gene", F.col("gene").alias("component"))
+        if found.isEmpty():
+            colour = _lowest_forward(links, genes)
+            inside = links.join(colour.select(F.col("gene").alias("u"), "c"), "u").join(colour.select(F.col("gene").alias("v"), F.col("c").alias("cv")), "v").where("c = cv")
+            inside = _cut(inside.select(F.col("v").alias("gene1"), F.col("u").alias("gene2"), "c"), "inside")
+            seen = front = _cut(colour.where("gene = c"), "roots")
+            while not front.isEmpty():
+                step = inside.join(front.select(F.col("gene").alias("gene1")), "gene1").select(F.col("gene2").alias("gene"), "c").distinct()
+                front = _cut(step.join(seen, "gene", "left_anti"), "backward")
+                seen = _cut(seen.unionByName(front), "seen")
+            found = seen.select("gene", F.col("c").alias("component"))
+        found = _cut(found, "found")
+        done = done.unionByName(found)
+        genes = _cut(genes.join(found, "gene", "left_anti"), "rest")
+        stay = lambda c: genes.withColumnRenamed("gene", c)  # noqa: B023, E731
+        links = _cut(links.join(stay("u"), "u", "left_semi").join(stay("v"), "v", "left_semi"), "links")
+    return done
+
+
+def steiner_tree(e: DataFrame, terminals: DataFrame, hop_penalty: float = 0.0) -> DataFrame:
+    """(u, v, w): a tree for each component that joins its terminals, by nearest-terminal regions.
+
+    Weights are the smaller p of both directions, plus ``hop_penalty`` on edges with an end
+    that is no terminal. Ties go to the smaller (distance, terminal, predecessor). Fewer than
+    two terminals in a component: no rows from it.
+    """
+    ends = _cut(terminals.select("gene").distinct(), "terminals")
+    flag = lambda c: ends.select(F.col("gene").alias(c), F.lit(True).alias("t" + c))
+    links = symmetric(e.where("gene1 <> gene2"), "p_value").join(flag("u"), "u", "left").join(flag("v"), "v", "left")
+    links = _cut(links.select("u", "v", (F.col("w") + F.when(F.col("tu") & F.col("tv"), 0.0).otherwise(hop_penalty)).alias("w")), "links")
+    near = ends.select("gene", F.struct(F.lit(0.0).alias("d"), F.col("gene").alias("t"), F.col("gene").alias("by")).alias("m"))
+    front = near
+    while not front.isEmpty():
+        sent = links.join(front.withColumnRenamed("gene", "u"), "u").groupBy(F.col("v").alias("gene")).agg(F.min(F.struct((F.col("m.d") + F.col("w")).alias("d"), F.col("m.t").alias("t"), F.col("u").alias("by"))).alias("new"))
+        # A step of weight 0 may tie; only a smaller (distance, terminal) moves a gene on.
+        less = F.col("m").isNull() | (F.struct("new.d", "new.t") < F.struct("m.d", "m.t"))
+        both = near.join(sent, "gene", "full").withColumn("moved", F.coalesce(F.col("new").isNotNull() & less, F.lit(False)))
+        both = _cut(both.select("gene", F.when(F.col("moved"), F.col("new")).otherwise(F.col("m")).alias("m"), "moved"), "near")
+        near, front = both.select("gene", "m"), both.where("moved").select("gene", "m")
+    side = lambda c: near.select(F.col("gene").alias(c), F.col("m.d").alias("d" + c), F.col("m.t").alias("t" + c))
+    across = links.where("u < v").join(side("u"), "u").join(side("v"), "v").where("tu <> tv")
+    bridge = across.groupBy(F.least("tu", "tv").alias("gene1"), F.greatest("tu", "tv").alias("gene2")).agg(F.min(F.struct((F.col("du") + F.col("w") + F.col("dv")).alias("p"), "u", "v")).alias("m"))
+    bridge = _cut(bridge, "bridges")
+    kept = spanning_forest(bridge.select("gene1", "gene2", F.col("m.p").alias("p_value"))).select(F.col("u").alias("gene1"), F.col("v").alias("gene2"))
+    kept = _cut(bridge.join(kept, ["gene1", "gene2"], "left_semi").select("m.u", "m.v"), "kept")
+    used = kept
+    at = kept.select(F.col("u").alias("gene")).union(kept.select("v")).distinct()
+    while True:
+        step = _cut(at.join(near, "gene").where(F.col("m.by") != F.col("gene")).select("gene", F.col("m.by").alias("by")), "walk")
+        if step.isEmpty():
+            break
+        used = used.unionByName(step.select(F.least("gene", "by").alias("u"), F.greatest("gene", "by").alias("v")))
+        at = step.select(F.col("by").alias("gene")).distinct()
+    tree = spanning_forest(links.join(used.distinct(), ["u", "v"], "left_semi").select(F.col("u").alias("gene1"), F.col("v").alias("gene2"), F.col("w").alias("p_value")))
+    while True:
+        degree = tree.select(F.col("u").alias("gene")).unionAll(tree.select("v")).groupBy("gene").count().where("count = 1")
+        leaves = _cut(degree.select("gene").join(ends, "gene", "left_anti"), "leaves")
+        if leaves.isEmpty():
+            return tree
+        drop = lambda c: leaves.withColumnRenamed("gene", c)  # noqa: B023, E731
+        tree = _cut(tree.join(drop("u"), "u", "left_anti").join(drop("v"), "v", "left_anti").select("u", "v", "w"), "tree")
+
+
+def adaptive_candidates(e: DataFrame, terminals: DataFrame, p_values: list[float], start_hops: int = 2, max_nodes: int | None = 5000, coverage: float = 0.9) -> tuple[DataFrame, dict]:
+    """Edges of the first neighbourhood of the terminals, wide to narrow, that joins enough of them.
+
+    For each number of hops and then each threshold: genes within that distance of a terminal.
+    Neighbourhoods above ``max_nodes`` are passed over. The component with most terminals is
+    returned once it holds a share of at least ``coverage``; else the smallest neighbourhood seen.
+    """
+    ends = _cut(terminals.select("gene").distinct(), "terminals")
+    best = None
+    for h in range(start_hops, -1, -1):
+        for p in p_values:
+            good = _cut(e.where(F.col("p_value") <= p), "candidates")
+            nodes = good.select(F.col("gene1").alias("gene")).union(good.select("gene2")).distinct()
+            present = _cut(ends.join(nodes, "gene", "left_semi"), "present")
+            total = present.count()
+            if total < 2:
+                continue
+            near = _cut(hops(good, present, h).select("gene"), "near")
+            size = near.count()
+            if max_nodes is not None and size > max_nodes:
+                continue
+            within = lambda g: good.join(g.withColumnRenamed("gene", "gene1"), "gene1", "left_semi").join(g.withColumnRenamed("gene", "gene2"), "gene2", "left_semi")  # noqa: B023, E731
+            parts = near.join(components(within(near)), "gene", "left").select("gene", F.coalesce("component", "gene").alias("c"))
+            parts = _cut(parts, "parts")
+            top = parts.join(present, "gene", "left_semi").groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").first()
+            meta = {"hops": h, "p_value": p, "nodes": size, "terminals": total, "terminals_joined": top["n"], "coverage": top["n"] / total, "connected": False}
+            if meta["coverage"] >= coverage:
+                main = parts.where(F.col("c") == top["c"]).select("gene")
+                return within(main), meta | {"nodes": main.count(), "connected": True}
+            if best is None or size < best[1]["nodes"]:
+                best = within(near), meta
+    return best or (e.limit(0), {"hops": None, "p_value": None, "nodes": 0, "terminals": ends.count(), "terminals_joined": 0, "coverage": 0.0, "connected": False})

@@ -329,6 +329,24 @@ def network_summary(spark, sf_dir):
     return rounded(graph.summary(network(spark, sf_dir), GOI), "density", "avg_degree")
 
 
+_WAY = "way(gene, other) AS (SELECT gene, gene FROM g UNION SELECT way.gene, e.gene2 FROM way JOIN e ON e.gene1 = way.other)"
+
+
+@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, {_WAY} SELECT a.gene, min(a.other) AS component FROM way a JOIN way b ON a.gene = b.other AND a.other = b.gene GROUP BY a.gene")
+def scc(spark, sf_dir):
+    return graph.strong_components(network(spark, sf_dir))
+
+
+@query()
+def steiner_tree(spark, sf_dir):
+    return rounded(graph.steiner_tree(network(spark, sf_dir), _probes(spark, sf_dir)), "w")
+
+
+@query()
+def adaptive_candidates(spark, sf_dir):
+    return graph.adaptive_candidates(network(spark, sf_dir), _probes(spark, sf_dir), [P_NET / 2, P_NET])[0]
+
+
 # --- Partitions, rankings, comparison ------------------------------------------------------
 
 RUNS = 20
@@ -370,6 +388,11 @@ def frequency_metrics(spark, sf_dir):
 _ORDER = "ORDER BY frequency DESC, lower(gene::VARCHAR), gene"
 
 
+@query(f"WITH {PARTS_SQL}, x AS (SELECT gene, community FROM parts WHERE run = 7), k AS (SELECT community FROM x GROUP BY community ORDER BY count(*) DESC, community LIMIT 3) SELECT gene, CASE WHEN community IN (FROM k) THEN community ELSE (SELECT min(community) FROM k) END AS community FROM x")
+def reduce_communities(spark, sf_dir):
+    return community.reduce_communities(_partitions(spark, sf_dir).where("run = 7"), 3)
+
+
 @query(f"WITH {FREQ_SQL}, top AS (SELECT gene, frequency FROM freq {_ORDER} LIMIT (SELECT ceil(count(*) * 0.07)::BIGINT FROM freq)) SELECT gene, round(frequency, 8) AS frequency FROM (FROM top UNION SELECT gene, frequency FROM freq WHERE gene = 0)")
 def probe_top_percent(spark, sf_dir):
     return rounded(ranking.top_percent(_frequency(spark, sf_dir), 7, GOI), "frequency")
@@ -473,3 +496,9 @@ def louvain_runs(spark, sf_dir):
 def stable_consensus(spark, sf_dir):
     return community.stable_consensus(spark, network(spark, sf_dir), GOI, start=8, max_runs=20)
 
+
+
+@query()
+def girvan_newman(spark, sf_dir):
+    """Three communities of the strongest part of the network."""
+    return community.girvan_newman(gc_edges(spark, sf_dir, 0.0002), 3)
