@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: Entries in a worker's memory of encoded chunks; a full memory is emptied, not the data.
-CACHE_ENTRIES = 800_000
+#: Entries in each of the two generations of a worker's memory of encoded chunks.
+CACHE_ENTRIES = 300_000
+#: A memory above this is emptied when its task ends, as idle workers hold it beside other stages.
+KEPT_ENTRIES = 50_000
 
 #: A chunk that is a run of ASCII or Latin-1 letters with at most one comma or full stop.
 SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
@@ -41,13 +43,15 @@ class ChunkEncoder(dict):
     The word tokenizer splits at white space before it merges, so a text's ids are those of
     its ASCII-white-space separated chunks, and each distinct chunk is encoded once. Chunks
     of plain letters go straight to the merge model (lower-cased, bytes mapped as its
-    pre-tokenizer does); all others through the whole tokenizer.
+    pre-tokenizer does); all others through the whole tokenizer. A full memory becomes the
+    older generation, and chunks met again move back to the younger one.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_str(spec)
         self.merge = self.tokenizer.model.tokenize
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
@@ -68,13 +72,17 @@ class ChunkEncoder(dict):
         return b"".join([of[t.id] for t in self.merge(text)])
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
         m = SIMPLE.fullmatch(chunk) if self.direct else None
         if not m:
             ids = self.full(chunk)
         else:
             word, mark = m.groups()
             word = word.lower()  # ASCII only; letters() does the rest
-            ids = self.get(word)
+            ids = self.get(word) or self.older.get(word)
             if ids is None:
                 ids = self[word] = self.letters(word)
             if mark:
@@ -84,9 +92,15 @@ class ChunkEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         if len(self) > CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
+    def trim(self) -> None:
+        self.older = {}
+        if len(self) > KEPT_ENTRIES:
+            self.clear()
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -118,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, budget: int = 4096, end_i
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             held = 0
-            for at, text in enumerate(batch.column(1).to_pylist()):
+            for at, text in enumerate(t.as_py() for t in batch.column(1)):
                 ids = encoder.encode(text or "") + end
                 for piece, lo in enumerate(range(0, len(ids), step)):
                     part = ids[lo : lo + step]
@@ -128,6 +142,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, budget: int = 4096, end_i
                 if held > 8 << 20 or at == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *map(pa.array, rows[1:], kinds)], names=["doc_id", "piece", "start", "length", "tokens"])
                     rows, held = ([], [], [], [], []), 0
+        encoder.trim()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
