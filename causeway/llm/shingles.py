@@ -88,7 +88,16 @@ def shingle_sets(column, k: int):
     A text with fewer than ``k`` words has its whole sequence as the only shingle; one
     without words has none.
     """
-    raw, offsets = text_buffers(column)
+    raw, ends = text_buffers(column)
+    lo = 0
+    while lo < len(ends) - 1:
+        # Texts of about PIECE bytes at a time: the arrays are several times as large.
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PIECE, side="right")) - 1)
+        yield from _sets(raw, ends[lo : hi + 1], k)
+        lo = hi
+
+
+def _sets(raw: np.ndarray, offsets: np.ndarray, k: int):
     words, first = word_hashes(raw, offsets)
     n = len(words)
     grams = np.empty(0, np.uint64)
