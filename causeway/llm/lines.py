@@ -7,7 +7,8 @@ partial count and one first occurrence per key. The verdicts come back as a run-
 compressed keep bitmap per document, never as text.
 
 Defined cases: a null or empty text is one empty line; every row is a document of its own
-(repeated rows and rows with a null id too); keys shorter than ``min_chars`` never count; an
+(repeated rows and rows with a null id too), unless ``different`` counts rows of the same keys
+in the same order as one; keys shorter than ``min_chars`` never count; an
 empty table gives no rows; other columns of the documents pass through untouched.
 """
 
@@ -33,18 +34,30 @@ def folded(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc, r1, r2, pos, h1, h2): every line whose key has ``min_chars`` code points."""
+    """(rid, doc, r1, r2, same, pos, h1, h2): every line whose key has ``min_chars`` code points.
+
+    ``same`` is equal for rows that have the same such keys in the same order.
+    """
     text = F.col(text_col).cast("string")
     keys = F.transform(split_lines(folded(text)), lambda x: F.btrim(x, F.lit(STRIPPED)))
     r1, r2 = identity(id_col, text_col)
     # The row number is made below the explosion: made beside it, each line would get its own.
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), r1.alias("r1"), r2.alias("r2"), keys.alias("keys"))
-    rows = rows.select("rid", "doc", "r1", "r2", F.posexplode("keys").alias("pos", "key"))
-    return rows.where(F.char_length("key") >= min_chars).select("rid", "doc", "r1", "r2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
+    # So is the hash: made beside it, every line would hash its whole document again.
+    rows = rows.withColumn("same", F.xxhash64(F.lit(11), F.filter("keys", lambda x: F.char_length(x) >= min_chars)))
+    rows = rows.select("rid", "doc", "r1", "r2", "same", F.posexplode("keys").alias("pos", "key"))
+    return rows.where(F.char_length("key") >= min_chars).select("rid", "doc", "r1", "r2", "same", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
 
 
-def frequent_keys(lines: DataFrame, min_docs: int) -> DataFrame:
-    """(h1, h2, n_docs, first): keys found in at least ``min_docs`` rows, with their first place."""
+def frequent_keys(lines: DataFrame, min_docs: int, different: bool = False) -> DataFrame:
+    """(h1, h2, n_docs, first): keys found in at least ``min_docs`` rows, with their first place.
+
+    ``different``: rows of the same keys in the same order count once.
+    """
+    if different:
+        # Minima are taken before the shuffle: copies are one row per key and task.
+        texts = lines.groupBy("h1", "h2", "same").agg(F.min(F.struct("doc", "rid", "pos")).alias("first"))
+        return texts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs)
     order = ["h1", "h2", "doc", "rid"]
     ranged = lines.select(*order, "pos").repartitionByRange(shuffle_width(lines.sparkSession), *order).sortWithinPartitions(*order, "pos")
     # Ranges of (key, row) hold a row's lines of one key together: no exchange here.
@@ -57,15 +70,16 @@ def frequent_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", different: bool = False) -> DataFrame:
     """(r1, r2, dropped) of the documents that lose lines; r1 and r2 identify id and text.
 
     ``dropped`` is the compressed bitmap: the runs (start, end) of dropped lines in order,
     end exclusive; all other lines are kept. With ``keep_first`` a key's first line, by
     document and position, stays.
     """
-    lines = written(line_table(docs, min_chars, id_col, text_col), "lines")
-    frequent = written(frequent_keys(lines, min_docs), "frequent")
+    lines = line_table(docs, min_chars, id_col, text_col)
+    lines = written(lines if different else lines.drop("same"), "lines")
+    frequent = written(frequent_keys(lines, min_docs, different), "frequent")
     # A join on plain tables: Spark broadcasts the keys if their size allows, else it may
     # split the lines of a frequent key over tasks.
     hit = lines.join(frequent, ["h1", "h2"])
@@ -80,9 +94,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     return per_row.groupBy("r1", "r2").agg((F.max_by("dropped", F.size("dropped")) if keep_first else F.first("dropped")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", different: bool = False) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` (before dropping) and ``n_dropped``."""
-    bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col)
+    bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col, different)
     r1, r2 = identity(id_col, text_col)
     joined = docs.withColumns({"__cw_r1": r1, "__cw_r2": r2}).join(
         bitmaps.select(F.col("r1").alias("__cw_r1"), F.col("r2").alias("__cw_r2"), F.col("dropped").alias("__cw_dropped")), ["__cw_r1", "__cw_r2"], "left"

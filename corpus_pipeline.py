@@ -23,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go; n_chars follows the text."""
-    done = dedup_lines(docs, min_docs=10, min_chars=1)
+    """Lines found in ten or more different documents go; n_chars follows the text.
+
+    Copies of a document count once, so their text is still there for the next stage to keep one.
+    """
+    done = dedup_lines(docs, min_docs=10, min_chars=1, different=True)
     return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

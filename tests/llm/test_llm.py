@@ -197,3 +197,20 @@ def test_pipeline_keeps_columns(spark):
     kept = df.collect()
     assert len(kept) == 24 and not any(re.search("shared line", r.text) for r in kept)
     assert hashlib.sha256(kept[0].text.encode()).hexdigest()
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, vocabulary):
+    import corpus_pipeline
+
+    own = [(i, " ".join(f"t{i}x{j}" for j in range(60)) + "\nshared line", "en", f"s{i % 3}", 1) for i in range(24)]
+    text = "\n".join(" ".join(f"c{k}y{j}" for j in range(30)) for k in range(3))
+    copies = [(100 + i, text.upper() if i == 5 else text + " \n" * (i % 2), "en", f"s{i % 3}", 1) for i in range(14)]
+    df = spark.createDataFrame(own + copies, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        df = stage(spark, df, "")
+        if name == "line dedup":
+            assert all(r.text.strip() for r in df.collect())
+    kept = df.collect()
+    assert [r.text for r in kept if r.doc_id >= 100] == [text] and not any("shared line" in r.text for r in kept)
+    packed = {r.doc_id for r in corpus_pipeline.packing(spark, df, "").collect()}
+    assert packed == {r.doc_id for r in kept}
