@@ -10,7 +10,8 @@ text every ``<turn`` and ``</turn`` gets one backslash more in front than it had
 marker always follows a newline, this reads back exactly. Loss spans cover the assistant
 texts, markers excluded, as code points (start, end).
 
-Defined cases: null text and null role are empty; messages whose parent is missing are
+Defined cases: null text and null role are empty; messages without a conversation id are one
+conversation of their own, its id null; messages whose parent is missing are
 roots; equal (conversation, turn) rows are told apart by role and text, then arbitrarily but
 alike; messages in a cycle of replies belong to no path; an empty table gives no rows.
 """
@@ -21,7 +22,6 @@ import re
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,12 +75,22 @@ def chain_of_turns(rows: DataFrame) -> DataFrame:
     return out.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
+def boxed(messages: DataFrame) -> DataFrame:
+    """``conv`` in a struct: a struct is never null, so null ids meet in joins like all others."""
+    return messages.withColumn("conv", F.struct(F.col("conv").isNull().alias("n"), F.col("conv").alias("id")))
+
+
 def best_paths(messages: DataFrame, branches: int | None = None, max_rounds: int = 40) -> DataFrame:
     """(conv, leaf, rank, score, node, up): the messages of each chosen root-to-leaf path.
 
     ``up`` counts the replies between message and leaf. ``branches``: paths per conversation,
     the best mean score first (ties: the smaller leaf); None takes all.
     """
+    return _paths(boxed(messages), branches, max_rounds).withColumn("conv", F.col("conv.id"))
+
+
+def _paths(messages: DataFrame, branches: int | None, max_rounds: int = 40) -> DataFrame:
+    """:func:`best_paths` of messages with :func:`boxed` ids, which stay boxed."""
     base = messages.select("conv", "node", "parent", "score")
     ids = base.select("conv", F.col("node").alias("parent")).distinct()
     # A parent that is not there makes its reply a root.
@@ -122,14 +132,23 @@ def format_conversations(messages: DataFrame, branches: int | None = None) -> Da
 
     ``messages``: conv, node, parent (null: root), role, text, score.
     """
-    turns = best_paths(messages, branches).join(messages.select("conv", "node", "role", "text"), ["conv", "node"])
+    messages = boxed(messages)
+    turns = _paths(messages, branches).join(messages.select("conv", "node", "role", "text"), ["conv", "node"])
     # One conversation is one training example, so its turns do meet in one row.
     grouped = turns.groupBy("conv", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
-    conv_kind = messages.schema["conv"].dataType.simpleString()
-
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [format_turns([(t["role"] or "", t["text"] or "") for t in turns]) for turns in pdf["turns"]]
-            yield pdf.drop(columns="turns").assign(formatted=[m[0] for m in made], loss_spans=[[{"start": a, "end": b} for a, b in m[1]] for m in made])
-
-    return grouped.mapInPandas(render, f"conv {conv_kind}, leaf long, rank int, score double, formatted string, loss_spans array<struct<start: long, end: long>>")
+    grouped = grouped.withColumn("conv", F.col("conv.id"))
+    conv_kind = grouped.schema["conv"].dataType.simpleString()
+
+    # Arrow batches, as pandas would make floats of integer ids beside a null one.
+    def render(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            made = [format_turns([(t["role"] or "", t["text"] or "") for t in turns]) for turns in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in range(4)), pa.array([m[0] for m in made], pa.string()), pa.array([[{"start": a, "end": b} for a, b in m[1]] for m in made], spans)],
+                names=["conv", "leaf", "rank", "score", "formatted", "loss_spans"],
+            )
+
+    return grouped.mapInArrow(render, f"conv {conv_kind}, leaf long, rank int, score double, formatted string, loss_spans array<struct<start: long, end: long>>")

@@ -214,3 +214,16 @@ def test_pipeline_keeps_one_of_many_copies(spark, vocabulary):
     assert [r.text for r in kept if r.doc_id >= 100] == [text] and not any("shared line" in r.text for r in kept)
     packed = {r.doc_id for r in corpus_pipeline.packing(spark, df, "").collect()}
     assert packed == {r.doc_id for r in kept}
+
+
+def test_chat_keeps_null_conversations(spark, tmp_path):
+    from causeway.llm import queries
+
+    big = 2**60 + 1
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (big, 0, "user", "x"), (None, None, "user", None), (0, 0, None, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    made = {r.conv: chat.parse_turns(r.formatted) for r in chat.format_conversations(chat.chain_of_turns(df)).collect()}
+    assert made == {None: [("user", ""), ("user", "q"), ("assistant", "a")], big: [("user", "x")], 0: [("", "z")]}
+    assert sorted((r.conv is None, r.up) for r in chat.best_paths(chat.chain_of_turns(df)).collect()) == [(False, 0), (False, 0), (True, 0), (True, 1), (True, 2)]
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.conv_id: r.n_turns for r in queries.op8_chat_formatting(spark, str(tmp_path)).collect()} == {None: 3, big: 1, 0: 1, -7: 2}
