@@ -102,7 +102,8 @@ def louvain_runs(spark: SparkSession, e: DataFrame, first: int, last: int) -> Da
             for seed in pdf["id"]:
                 yield pd.DataFrame({"run": int(seed), "gene": genes, "community": louvain(uv[:, 0], uv[:, 1], len(genes), int(seed))})
 
-    return spark.range(first, last, 1, max(1, last - first)).mapInPandas(run, f"run long, gene {kind}, community long")
+    tasks = max(1, min(last - first, 8 * spark.sparkContext.defaultParallelism))
+    return spark.range(first, last, 1, tasks).mapInPandas(run, f"run long, gene {kind}, community long")
 
 
 def average_linkage(similarity: np.ndarray, k: int) -> np.ndarray:
@@ -123,22 +124,30 @@ def average_linkage(similarity: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def stable_consensus(spark: SparkSession, e: DataFrame, gene, start: int = 20, growth: float = 0.2, tol: float = 0.05, q: float = 0.9, overlap: float = 95.0, max_runs: int = 200) -> DataFrame:
-    """Frequencies around ``gene`` once a further batch of runs no longer changes them."""
+def stable_consensus(spark: SparkSession, e: DataFrame, gene, start: int = 5000, growth: float = 0.2, tol: float = 0.05, q: float = 0.9, overlap: float = 95.0, max_runs: int | None = None) -> DataFrame:
+    """(gene, frequency, runs, stable) around ``gene`` once a further batch of runs no longer changes them.
+
+    Without ``max_runs`` it goes on until that is so; with it, ``stable`` tells whether it was.
+    """
+    from causeway.operators import ranking
     from causeway.operators.graph import _cut
-    from causeway.operators.ranking import stability
 
-    parts, runs, previous = _cut(louvain_runs(spark, e, 0, start), "runs"), start, None
+    def hits(first: int, last: int) -> DataFrame:
+        parts = _cut(louvain_runs(spark, e, first, last), "runs")
+        return goi_frequency(parts, gene).select("gene", F.round(F.col("frequency") * (last - first)).cast("long").alias("n"))
+
+    # Hits add up over the batches, so that no run is read twice.
+    total, runs, previous = _cut(hits(0, start), "hits"), start, None
     while True:
-        freq = _cut(goi_frequency(parts, gene), "freq")
+        freq = total.select("gene", (F.col("n") / runs).alias("frequency"))
+        stable = False
         if previous is not None:
-            s = stability(previous, freq, q).first()
-            if (s["rel_change"] or 0.0) <= tol and s["overlap"] >= overlap:
-                return freq
-        if runs >= max_runs:
-            return freq
+            s = ranking.stability(previous, freq, q).first()
+            stable = (s["rel_change"] or 0.0) <= tol and s["overlap"] >= overlap
+        if stable or (max_runs is not None and runs >= max_runs):
+            return freq.withColumns({"runs": F.lit(runs).cast("long"), "stable": F.lit(stable)})
         more = max(1, int(runs * growth))
-        parts = parts.unionByName(_cut(louvain_runs(spark, e, runs, runs + more), "runs"))
+        total = _cut(total.unionByName(hits(runs, runs + more)).groupBy("gene").agg(F.sum("n").alias("n")), "hits")
         runs, previous = runs + more, freq
 
 

@@ -494,7 +494,7 @@ def louvain_runs(spark, sf_dir):
 
 @query()
 def stable_consensus(spark, sf_dir):
-    return community.stable_consensus(spark, network(spark, sf_dir), GOI, start=8, max_runs=20)
+    return community.stable_consensus(spark, network(spark, sf_dir), GOI)
 
 
 

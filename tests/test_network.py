@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from causeway.operators import community, graph
+from causeway.operators import community, graph, ranking
 from causeway.plans.runner import Config, Runner
 from causeway.sources import writers
 
@@ -59,3 +59,14 @@ def test_runner_writes_every_stage(spark, tmp_path):
     assert "<edge" in (tmp_path / "n.graphml").read_text() and "<circle" in (tmp_path / "n.svg").read_text()
     with pytest.raises(ValueError, match="p_threshold"):
         Config("m", "g", "o", "G0", p_threshold=0)
+
+
+def test_consensus_goes_on_until_stable(spark, monkeypatch):
+    e = made(spark, [(0, 1, 0), (1, 2, 0), (0, 2, 0), (3, 4, 0)])
+    answers = iter([(0.5, 0.0)] * 5 + [(0.0, 100.0)])
+    monkeypatch.setattr(ranking, "stability", lambda *_: spark.createDataFrame([next(answers)], "rel_change double, overlap double"))
+    rows = community.stable_consensus(spark, e, 0, start=100).collect()
+    assert {(r.runs, r.stable) for r in rows} == {(100 + 20 + 24 + 28 + 34 + 41 + 49, True)} and {r.gene: r.frequency for r in rows} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}
+    answers = iter([(0.5, 0.0)] * 9)
+    assert {(r.runs, r.stable) for r in community.stable_consensus(spark, e, 0, start=2, max_runs=4).collect()} == {(4, False)}
+    assert Config("m", "g", "o", "G0").max_runs is None
