@@ -500,5 +500,5 @@ def stable_consensus(spark, sf_dir):
 
 @query()
 def girvan_newman(spark, sf_dir):
-    """Three communities of the strongest part of the network."""
-    return community.girvan_newman(gc_edges(spark, sf_dir, 0.0002), 3)
+    """Three communities of the network."""
+    return community.girvan_newman(network(spark, sf_dir), 3)

@@ -70,3 +70,11 @@ def test_consensus_goes_on_until_stable(spark, monkeypatch):
     answers = iter([(0.5, 0.0)] * 9)
     assert {(r.runs, r.stable) for r in community.stable_consensus(spark, e, 0, start=2, max_runs=4).collect()} == {(4, False)}
     assert Config("m", "g", "o", "G0").max_runs is None
+
+
+def test_girvan_newman_query_takes_the_whole_network(spark, monkeypatch):
+    from causeway.plans import registry
+
+    e = made(spark, [(0, 1, 0.0001), (2, 3, 0.0001), (4, 5, 0.001)])
+    monkeypatch.setattr(registry, "gc_edges", lambda *_: e.where(f"p_value <= {_[2]}"))
+    assert {r.gene for r in registry.QUERIES["girvan_newman"](spark, "").collect()} == set(range(6))
