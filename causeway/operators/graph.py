@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,12 @@ def components(e: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels.select(F.col("u").alias("gene"), F.col("c").alias("component"))
 
 
-def hops(e: DataFrame, sources: DataFrame, cutoff: int) -> DataFrame:
-    """(gene, hops): fewest undirected steps from any source, up to ``cutoff``."""
+def hops(e: DataFrame, sources: DataFrame, cutoff: int | None) -> DataFrame:
+    """(gene, hops): fewest undirected steps from any source, up to ``cutoff``; None: all that are reached."""
     links = _cut(symmetric(e), "links")
     seen = _cut(sources.select("gene").distinct().withColumn("hops", F.lit(0)), "seen0")
     front = seen
-    for k in range(1, cutoff + 1):
+    for k in count(1) if cutoff is None else range(1, cutoff + 1):
         step = links.join(front.select(F.col("gene").alias("u")), "u").select(F.col("v").alias("gene")).distinct().join(seen, "gene", "left_anti")
         front = _cut(step.withColumn("hops", F.lit(k)), f"front{k}")
         if front.isEmpty():
@@ -53,20 +54,20 @@ def hops(e: DataFrame, sources: DataFrame, cutoff: int) -> DataFrame:
     return seen
 
 
-def expand(e: DataFrame, sources: DataFrame, p: float, max_rounds: int = 1000) -> DataFrame:
+def expand(e: DataFrame, sources: DataFrame, p: float) -> DataFrame:
     """ED4: edges that passing edges connect with the sources, in either direction."""
     good = e.where(F.col("p_value") <= p)
-    reached = hops(good, sources, max_rounds).select("gene")
+    reached = hops(good, sources, None).select("gene")
     return good.join(reached.withColumnRenamed("gene", "gene1"), "gene1", "left_semi").dropDuplicates()
 
 
-def distances(e: DataFrame, source, bottleneck: bool = False, max_rounds: int = 1000) -> DataFrame:
+def distances(e: DataFrame, source, bottleneck: bool = False) -> DataFrame:
     """(gene, dist): least sum, or least maximum, of p along undirected paths to ``source``."""
     links = _cut(symmetric(e, "p_value"), "links")
     kind = e.schema["gene1"].dataType.simpleString()
     dist = e.sparkSession.createDataFrame([(source, 0.0)], f"gene {kind}, dist double")
     front = dist
-    for k in range(max_rounds):
+    for k in count():
         through = F.greatest("dist", "w") if bottleneck else F.col("dist") + F.col("w")
         reach = links.join(front.withColumnRenamed("gene", "u"), "u").groupBy(F.col("v").alias("gene")).agg(F.min(through).alias("new"))
         both = _cut(dist.join(reach, "gene", "full").select("gene", F.least("dist", "new").alias("dist"), (F.col("new") < F.coalesce("dist", F.lit(float("inf")))).alias("moved")), f"dist{k}")

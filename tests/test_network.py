@@ -78,3 +78,14 @@ def test_girvan_newman_query_takes_the_whole_network(spark, monkeypatch):
     e = made(spark, [(0, 1, 0.0001), (2, 3, 0.0001), (4, 5, 0.001)])
     monkeypatch.setattr(registry, "gc_edges", lambda *_: e.where(f"p_value <= {_[2]}"))
     assert {r.gene for r in registry.QUERIES["girvan_newman"](spark, "").collect()} == set(range(6))
+
+
+def test_expansion_and_distances_have_no_last_round(spark):
+    # A chain longer than the former bound of 1000 rounds would be slow: the bound itself is tested.
+    import inspect
+
+    assert "max_rounds" not in inspect.signature(graph.expand).parameters and "max_rounds" not in inspect.signature(graph.distances).parameters
+    e = made(spark, [(i, i + 1, 0.5) for i in range(6)])
+    start = spark.createDataFrame([(0,)], "gene long")
+    assert graph.expand(e, start, 0.5).count() == 6 and graph.hops(e, start, 2).count() == 3
+    assert {r.gene: r.dist for r in graph.distances(e, 0).collect()} == {i: i / 2 for i in range(7)}
