@@ -1,4 +1,4 @@
-"""Communities: seeded Louvain runs, co-association, consensus clusters."""
+"""Communities: seeded Louvain runs, co-association, average linkage, Girvan-Newman."""
 
 from __future__ import annotations
 
