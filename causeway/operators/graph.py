@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.tables import written as _cut
 
-def _cut(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read back: a short plan that survives lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/causeway-{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .components import component_of
 
 
 def symmetric(e: DataFrame, weight: str | None = None) -> DataFrame:
@@ -25,19 +18,14 @@ def symmetric(e: DataFrame, weight: str | None = None) -> DataFrame:
     return both.groupBy("u", "v").agg(F.min(weight).alias("w")) if weight else both.distinct()
 
 
-def components(e: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(gene, component): weak components, named by their smallest gene; labels jump pointers."""
-    links = _cut(symmetric(e), "links")
-    labels = _cut(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")), "labels0")
-    for k in range(1, max_rounds):
-        around = links.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        better = labels.join(around, "u").select("u", F.least("c", "m").alias("c"))
-        jump = better.select(F.col("u").alias("c"), F.col("c").alias("cc"))
-        nxt = _cut(better.join(jump, "c", "left").select("u", F.least("c", F.coalesce("cc", "c")).alias("c")), f"labels{k}")
-        if nxt.join(labels.withColumnRenamed("c", "old"), "u").where("c <> old").isEmpty():
-            break
-        labels = nxt
-    return labels.select(F.col("u").alias("gene"), F.col("c").alias("component"))
+def components(e: DataFrame) -> DataFrame:
+    """(gene, component): weak components, named by their smallest gene.
+
+    A gene whose only edges lead to itself is a component of its own.
+    """
+    found = component_of(e.select(F.col("gene1").alias("a"), F.col("gene2").alias("b")))
+    genes = e.select(F.col("gene1").alias("gene")).union(e.select("gene2")).distinct()
+    return genes.join(found.withColumnRenamed("node", "gene"), "gene", "left").select("gene", F.coalesce("component", "gene").alias("component"))
 
 
 def hops(e: DataFrame, sources: DataFrame, cutoff: int | None) -> DataFrame:
@@ -77,27 +65,29 @@ def distances(e: DataFrame, source, bottleneck: bool = False) -> DataFrame:
     return dist
 
 
-def spanning_forest(e: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(u, v, w): minimum spanning forest by Boruvka rounds, ties by (w, u, v)."""
+def spanning_forest(e: DataFrame) -> DataFrame:
+    """(u, v, w): minimum spanning forest by Boruvka rounds, ties by (w, u, v).
+
+    Each round at least halves the number of trees that still have an edge out of them, so
+    the rounds end by themselves.
+    """
     links = _cut(symmetric(e, "p_value").where("u < v"), "links")
-    forest = links.limit(0)
-    labels = None
-    for k in range(max_rounds):
-        tagged = links
-        if labels is not None:
-            lab = lambda c: labels.select(F.col("gene").alias(c), F.col("component").alias("c" + c))
-            tagged = links.join(lab("u"), "u", "left").join(lab("v"), "v", "left")
-        else:
+    forest, labels = links.limit(0), None
+    for k in count():
+        if labels is None:
             tagged = links.withColumns({"cu": F.col("u"), "cv": F.col("v")})
-        tagged = tagged.withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).where("cu <> cv")
-        ends = tagged.select(F.col("cu").alias("c"), "w", "u", "v").unionAll(tagged.select("cv", "w", "u", "v"))
-        best = ends.groupBy("c").agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.u", "m.v", "m.w").distinct()
-        best = _cut(best, f"best{k}")
+        else:
+            lab = lambda c: labels.select(F.col("gene").alias(c), F.col("component").alias("c" + c))  # noqa: B023, E731
+            tagged = links.join(lab("u"), "u", "left").join(lab("v"), "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")})
+        # Edges inside a tree never count again.
+        links = _cut(tagged.where("cu <> cv").select("u", "v", "w", "cu", "cv"), f"across{k}")
+        ends = links.select(F.col("cu").alias("c"), "w", "u", "v").unionAll(links.select("cv", "w", "u", "v"))
+        best = _cut(ends.groupBy("c").agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.u", "m.v", "m.w").distinct(), f"best{k}")
         if best.isEmpty():
-            break
+            return forest
         forest = _cut(forest.unionByName(best), f"forest{k}")
+        links = links.select("u", "v", "w")
         labels = components(forest.select(F.col("u").alias("gene1"), F.col("v").alias("gene2")))
-    return forest
 
 
 def summary(e: DataFrame, gene) -> DataFrame:
