@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.functions.tables import written
+
+__all__ = ["WHITE", "Sealed", "identity", "shuffle_width", "table", "words", "written"]
+
 #: The six ASCII white-space characters; everything else belongs to a word.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where it is unset (tests) a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+class Sealed:
+    """A frame under private column names, so that no column of its own can clash with a work column."""
+
+    def __init__(self, df: DataFrame):
+        self.names, self.schema = df.columns, df.schema
+        self.df = df.toDF(*[f"__in{i}" for i in range(len(self.names))])
+
+    def _at(self, name: str) -> int:
+        """An exact match goes before one of another case."""
+        return self.names.index(name) if name in self.names else [n.lower() for n in self.names].index(name.lower())
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"__in{self._at(name)}")
+
+    def kind(self, name: str):
+        return self.schema[self._at(name)].dataType
 
+    def back(self, df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
+        """Own columns under their names, then the outputs.
 
-def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        An output takes the place of an own column of the same name, whatever its case.
+        """
+        taken = {o.lower() for o in outputs}
+        own = [F.col(f"__in{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in taken]
+        return df.select(*own, *[c.alias(n) for n, c in outputs.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +55,7 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def identity(id_col: str, text_col: str) -> tuple[Column, Column]:
+def identity(ident: str | Column, text: str | Column) -> tuple[Column, Column]:
     """Two hashes that stand for a row's id and text, the same in every run."""
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("\x00null"))
-    return F.xxhash64(ident, text), F.xxhash64(F.lit(7), ident, text)
+    of = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00null"))
+    return F.xxhash64(of(ident), of(text)), F.xxhash64(F.lit(7), of(ident), of(text))

@@ -109,25 +109,57 @@ def op6_mixing_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
     chars = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]), F.lit(0).cast("long"))
-    return done.select("doc_id", "n_units", count.alias("n_removed"), chars.alias("removed_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    count = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
+    return done.select("doc_id", chars.alias("removed_chars"), count.alias("n_removed"), "n_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Lines as tokens (a word with the white space around it); sentences are numbered by the words
+#: that end them, passages by the sentences of six words or more before them.
 OP7_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, l[i] AS line,
-         trim(regexp_replace(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                             '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS key
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l,
-               unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+WITH docs AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT doc_id, i, l[i] AS line, len(l) AS n_lines,
+         regexp_extract_all(l[i], '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS tokens
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM docs)),
+tokens AS (
+  SELECT doc_id, i, j, tokens[j] AS token,
+         trim(translate(tokens[j], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS word
+  FROM (SELECT doc_id, i, tokens, unnest(range(1, len(tokens) + 1)) AS j FROM lines)),
+sentences AS (
+  SELECT *, coalesce(sum((right(word, 1) IN ('.', '!', '?'))::INT)
+                     OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM tokens),
+long AS (
+  SELECT doc_id, i, s, (count(*) >= 6)::INT AS is_long FROM sentences GROUP BY ALL),
+placed AS (
+  SELECT doc_id, i, s, least(coalesce(sum(is_long) OVER (PARTITION BY doc_id, i ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0),
+                             greatest(sum(is_long) OVER (PARTITION BY doc_id, i) - 1, 0)) AS p FROM long),
+parts AS (
+  SELECT doc_id, i, p, string_agg(word, ' ' ORDER BY j) AS key, string_agg(token, '' ORDER BY j) AS raw, count(*) OVER (PARTITION BY doc_id, i) AS n
+  FROM sentences JOIN placed USING (doc_id, i, s) GROUP BY doc_id, i, p),
+units AS (
+  SELECT doc_id, i, -1 AS p, string_agg(key, ' ' ORDER BY p) AS key FROM parts GROUP BY doc_id, i
+  UNION ALL SELECT doc_id, i, p, key FROM parts WHERE n > 1),
 ranked AS (
-  SELECT *, len(string_split(key, ' ')) >= 8
-            AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS gone FROM lines)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-       coalesce(sum(length(line)) FILTER (gone), 0)::BIGINT AS removed_chars,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, i, p) > 1 AS again FROM units),
+verdicts AS (
+  SELECT doc_id, i, bool_or(again AND p < 0) OR (count(*) > 1 AND bool_and(again) FILTER (p >= 0)) AS whole FROM ranked GROUP BY doc_id, i),
+kept_parts AS (
+  SELECT doc_id, i, count(*) FILTER (again) AS n_gone, coalesce(sum(length(raw)) FILTER (again), 0) AS chars,
+         coalesce(string_agg(raw, '' ORDER BY p) FILTER (NOT again), '') AS kept
+  FROM parts JOIN ranked USING (doc_id, i, p) GROUP BY doc_id, i),
+done AS (
+  SELECT doc_id, lines.i, coalesce(whole, false) AS whole, n_lines, line,
+         CASE WHEN whole THEN 1 ELSE coalesce(n_gone, 0) END AS n_gone,
+         CASE WHEN whole THEN length(line) ELSE coalesce(chars, 0) END AS chars,
+         CASE WHEN n_gone > 0 THEN kept ELSE line END AS kept
+  FROM lines LEFT JOIN verdicts USING (doc_id, i) LEFT JOIN kept_parts USING (doc_id, i))
+SELECT doc_id, sum(chars)::BIGINT AS removed_chars, sum(n_gone)::BIGINT AS n_removed, any_value(n_lines) AS n_lines,
+       sha256(coalesce(string_agg(kept, chr(10) ORDER BY i) FILTER (NOT whole), '')) AS kept_sha256
+FROM done GROUP BY doc_id
 """
 
 
