@@ -8,17 +8,21 @@ smaller id. Only suffixes that can matter are sorted:
    by hash, and those found in at least two documents are shared.
 2. Documents send the surroundings of their shared anchors to the task of the anchor. Equal
    surroundings are one entry with its smallest id.
-3. There, the suffixes that start at the windows of an anchor are ordered by deep-shallow
-   sorting: multikey sorting by machine words down to ``SHALLOW`` bytes, then blind tries
-   for the groups that still agree. Equal strings end up side by side; the smallest id of
-   each run decides.
+3. There, deep-shallow sorting orders the surroundings of each anchor, and then the suffixes
+   that start at its windows: multikey quicksort by machine words down to ``SHALLOW`` bytes,
+   then blind tries for the groups that still agree. Equal strings end up side by side, the
+   smallest id first; that id decides.
 
-Records travel packed in arrays, so a frequent anchor costs bytes, not rows, and no task holds
-more than its share of the hashes.
+Texts that are whole copies of another leave before that: all but the smallest id lose every
+byte. Records travel packed in arrays, so a frequent anchor costs bytes, not rows. Anchors are
+dealt into parts of about ``PART_BYTES`` of text, whatever the input, and a task takes its
+parts one after the other, so its memory follows the part.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; matches never
 cross documents; documents of equal id are not earlier than each other; null ids come last;
-an empty table gives no rows.
+texts of any length are read whole, in slices that overlap by a window; an empty table gives
+no rows; other columns pass through, and one with the name of an output column, whatever its
+case, gives way to it.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, shuffle_width, written
+from .common import Sealed, identity, shuffle_width, written
 from .shingles import mix, text_buffers
 
 GRAM = 24
@@ -40,7 +44,11 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _UP = np.cumprod(np.append(np.uint64(1), np.full(SLICE, _BASE, np.uint64)), dtype=np.uint64)
 _DOWN = np.cumprod(np.append(np.uint64(1), np.full(SLICE, np.uint64(pow(int(_BASE), -1, 2**64)), np.uint64)), dtype=np.uint64)
 _LAST_ID = np.iinfo(np.int64).max
-BROADCAST_ROWS = 1_000_000
+#: Bytes of text whose anchors make a part, and bytes that a driver-checked broadcast may have.
+PART_BYTES = 4 << 20
+BROADCAST_BYTES = 8 << 20
+#: Strings that a blind trie takes; larger groups are split by quicksort first.
+BLIND = 4096
 
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -136,45 +144,73 @@ class BlindTrie:
                 todo.extend(kid for _, kid in sorted(node[1].items(), reverse=True))
 
 
-def equal_suffixes(strings: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """A class number per row of ``strings`` [n, depth]; equal within equal ``groups`` only.
+def deep_shallow(strings: np.ndarray, groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``strings`` [n, depth] ordered within their groups, and flags of those unlike the row before.
 
-    Deep-shallow sorting: rows are ordered by 8-byte words, each round only those that still
-    tie, down to ``SHALLOW`` bytes; a blind trie orders each group that ties beyond.
+    Multikey quicksort: all open segments are parted at once around the median of three words,
+    the equal ones go on with the next word. From ``SHALLOW`` bytes on, a segment of one
+    string is done, and one of at most ``BLIND`` rows is ordered by a blind trie. Rows of equal
+    strings are in the order of their ids.
     """
     n, depth = strings.shape
-    classes = np.arange(n)
-    rows, group = np.arange(n), groups
     padded = np.zeros((n, -(-depth // 8) * 8), np.uint8)
     padded[:, :depth] = strings
-    words = padded.view(">u8")
-    for level in range(-1, min(SHALLOW, depth) // 8):
-        key = words[rows, level].astype(np.uint64) if level >= 0 else np.zeros(len(rows), np.uint64)
-        order = np.lexsort((key, group))
-        rows, group, key = rows[order], group[order], key[order]
-        new = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))[: len(rows)]
-        number = np.cumsum(new) - 1
-        size = np.bincount(number) if len(rows) else np.empty(0, int)
-        live = size[number] > 1
-        rows, group = rows[live], number[live]
-    if not len(rows):
-        return classes
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    bounds = np.append(first, len(rows))
-    # A trie of one leaf needs no building.
-    same = (words[rows] == words[np.repeat(rows[first], np.diff(bounds))]).all(1)
-    one_leaf = np.logical_and.reduceat(same, first)
-    leaders = np.repeat(rows[first], np.diff(bounds))
-    in_one = np.repeat(one_leaf, np.diff(bounds))
-    classes[rows[in_one]] = leaders[in_one]
-    for g in np.flatnonzero(~one_leaf):
-        part = rows[bounds[g] : bounds[g + 1]]
-        trie = BlindTrie()
-        for i in part.tolist():
-            trie.insert(strings[i, SHALLOW:].tobytes(), i)
-        for run in trie.runs():
-            classes[run] = run[0]
-    return classes
+    words = padded.view(">u8").astype(np.uint64)
+    order = np.lexsort((ids, groups))
+    if not n:
+        return order, np.zeros(0, bool)
+    new = np.append(True, groups[order[1:]] != groups[order[:-1]])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, n))
+    level = np.zeros(len(start), np.int64)
+    while True:
+        # Segments of one row, or whose words are used up, are in order.
+        live = (size > 1) & (level < words.shape[1])
+        start, size, level = start[live], size[live], level[live]
+        deep = np.flatnonzero(level * 8 >= SHALLOW)
+        if len(deep):
+            at = _ranges(start[deep], size[deep])
+            head = np.repeat(order[start[deep]], size[deep])
+            alike = np.logical_and.reduceat((words[order[at]] == words[head]).all(1), np.cumsum(size[deep]) - size[deep])
+            blind = ~alike & (size[deep] <= BLIND)
+            for g in deep[blind]:
+                rows = order[start[g] : start[g] + size[g]]
+                trie = BlindTrie()
+                for i in rows.tolist():
+                    trie.insert(strings[i, 8 * level[g] :].tobytes(), i)
+                order[start[g] : start[g] + size[g]] = [i for run in trie.runs() for i in run]
+            done = np.zeros(len(start), bool)
+            done[deep[alike | blind]] = True
+            start, size, level = start[~done], size[~done], level[~done]
+        if not len(start):
+            break
+        at = _ranges(start, size)
+        seg = np.repeat(np.arange(len(start)), size)
+        key = words[order[at], level[seg]]
+        first = np.cumsum(size) - size
+        three = np.sort(np.stack([key[first], key[first + size // 2], key[first + size - 1]]), axis=0)
+        pivot = three[1][seg]
+        side = (key >= pivot).astype(np.int8) + (key > pivot)
+        # A stable partition of every segment into less, equal, greater.
+        counts = np.stack([np.add.reduceat((side == c).astype(np.int64), first) for c in range(3)])
+        place = np.empty(len(at), np.int64)
+        offset = np.zeros(len(start), np.int64)
+        for c in range(3):
+            mine = side == c
+            rank = np.cumsum(mine) - 1
+            before = np.cumsum(counts[c]) - counts[c]
+            place[mine] = (start + offset - before)[seg[mine]] + rank[mine]
+            offset = offset + counts[c]
+        order[place] = order[at]
+        start = np.concatenate([start, start + counts[0], start + counts[0] + counts[1]])
+        size = counts.ravel()
+        level = np.concatenate([level, level + 1, level])
+    return order, np.append(True, (groups[order[1:]] != groups[order[:-1]]) | (words[order[1:]] != words[order[:-1]]).any(1))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every segment, one segment after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def earlier_windows(context: np.ndarray, lo: np.ndarray, hi: np.ndarray, hashes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -185,36 +221,37 @@ def earlier_windows(context: np.ndarray, lo: np.ndarray, hi: np.ndarray, hashes:
     """
     n, width = len(context), length - GRAM + 1
     flags = np.zeros((n, width), bool)
+    if not n:
+        return flags
+    by = np.lexsort((hi, lo, hashes))
+    number = np.empty(n, np.int64)
+    number[by] = np.cumsum(np.append(False, (hashes[by[1:]] != hashes[by[:-1]]) | (lo[by[1:]] != lo[by[:-1]]) | (hi[by[1:]] != hi[by[:-1]])))
     # Equal surroundings are one entry; all its documents but the smallest lose every window.
-    spread = _UP[: context.shape[1]]
-    same = np.zeros(n, np.uint64)
-    for at in range(0, n, 65536):
-        same[at : at + 65536] = (_TABLE[context[at : at + 65536]] * spread).sum(1, dtype=np.uint64)
-    order = np.lexsort((ids, hi, lo, same, hashes))
-    h, s, a, b = hashes[order], same[order], lo[order], hi[order]
-    differs = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (context[order[1:]] != context[order[:-1]]).any(1))
-    entry = np.cumsum(differs) - 1
-    reps = order[np.flatnonzero(differs)]
+    order, fresh = deep_shallow(context, number, ids)
+    entry = np.cumsum(fresh) - 1
+    reps = order[fresh]
     inside = lambda rows: (np.arange(width) >= lo[rows][:, None]) & (np.arange(width) <= hi[rows][:, None])
     later = ids[order] > ids[reps][entry]
     flags[order[later]] = inside(order[later])
     # Entries of anchors with several surroundings: their windows are sorted.
     per_hash = np.unique(hashes[reps], return_inverse=True)[1]
-    several = reps[np.bincount(per_hash)[per_hash] > 1]
+    several = np.bincount(per_hash)[per_hash] > 1
+    reps_of = reps[several][np.argsort(per_hash[several], kind="stable")]
     hits = np.zeros((n, width), bool)
+    cuts = np.append(np.flatnonzero(np.append(True, hashes[reps_of][1:] != hashes[reps_of][:-1])), len(reps_of)) if len(reps_of) else np.zeros(1, int)
     done = 0
-    cuts = np.flatnonzero(np.append(True, hashes[several][1:] != hashes[several][:-1])) if len(several) else np.empty(0, int)
-    while done < len(several):
+    while done < len(reps_of):
         # Whole hash groups, some 40,000 entries at a time.
-        nxt = cuts[np.searchsorted(cuts, done + 40_000)] if np.searchsorted(cuts, done + 40_000) < len(cuts) else len(several)
-        part = several[done:nxt]
+        nxt = int(cuts[min(np.searchsorted(cuts, done + 40_000), len(cuts) - 1)])
+        part = reps_of[done:nxt]
         row, col = np.nonzero(inside(part))
         strings = np.lib.stride_tricks.sliding_window_view(context[part], length, axis=1)[row, col]
         groups = np.unique(hashes[part], return_inverse=True)[1][row] * width + col
-        classes = equal_suffixes(strings, groups)
-        least = np.full(len(classes), _LAST_ID)
-        np.minimum.at(least, classes, ids[part][row])
-        hits[part[row], col] = least[classes] < ids[part][row]
+        own = ids[part][row]
+        sorted_, new = deep_shallow(strings, groups, own)
+        least = np.empty(len(own), np.int64)
+        least[sorted_] = own[sorted_[new]][np.cumsum(new) - 1]  # the first of equal strings has the smallest id
+        hits[part[row], col] = least < own
         done = nxt
     # What the first document of an entry loses, the others of its id lose too.
     flags[order] |= hits[reps][entry] & inside(order)
@@ -252,21 +289,39 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(_LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _one_part_at_a_time(batches: Iterator) -> Iterator[tuple[int, list]]:
+    """(part, its rows without the part's number) of batches that are sorted by their first column."""
+    part, rows = None, []
+    for batch in batches:
+        for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part and rows:
+                yield part, rows
+                rows = []
+            part = p
+            rows.append(row)
+    if rows:
+        yield part, rows
+
+
+def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_id", text_col: str | Column = "text") -> DataFrame:
     """(r1, r2, runs): maximal removed runs (start, end) in bytes, end exclusive, of documents that lose any."""
     r1, r2 = identity(id_col, text_col)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), F.col(text_col).cast("string").alias("text"))
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    slim = docs.select(of(id_col).cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), of(text_col).cast("string").alias("text"))
     # Whole copies go first: only the smallest id of a text can be the earlier one elsewhere.
     t1, t2 = F.xxhash64("text"), F.xxhash64(F.lit(3), F.col("text"))
     slim = slim.withColumns({"t1": t1, "t2": t2})
-    first_of = slim.where("text is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first_of = written(first_of, "texts")
-    slim = slim.join(F.broadcast(first_of) if first_of.count() <= BROADCAST_ROWS else first_of, ["t1", "t2"], "left").drop("t1", "t2")
+    texts = slim.where("text is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first(F.octet_length("text")).alias("bytes"))
+    texts = written(texts, "texts")
+    total = texts.agg(F.sum("bytes")).first()[0] or 0
+    first_of = texts.where("n > 1").select("t1", "t2", "first_id")
+    slim = slim.join(F.broadcast(first_of) if 32 * first_of.count() <= BROADCAST_BYTES else first_of, ["t1", "t2"], "left").drop("t1", "t2")
     is_copy = F.coalesce(F.coalesce("doc_id", F.lit(_LAST_ID)) > F.col("first_id"), F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
     copies = slim.where(is_copy & (F.octet_length("text") >= length)).select("r1", "r2", whole.alias("runs"))
     slim = slim.where(~is_copy).select("doc_id", "r1", "r2", "text")
-    n_parts = 2 * shuffle_width(docs.sparkSession)
+    n_tasks = 2 * shuffle_width(docs.sparkSession)
+    n_parts = max(n_tasks, -(-total // PART_BYTES))
     width = length - GRAM + 1
 
     def anchors(batches: Iterator) -> Iterator:
@@ -293,15 +348,14 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     def shared(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        found: dict[int, list] = {}
-        for batch in batches:
-            for p, *cols in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for p, rows in _one_part_at_a_time(batches):
+            found = []
+            for cols in rows:
                 number = np.cumsum(_unpack(cols[1], np.uint32))
                 low = np.zeros((len(number), 8), np.uint8)
                 low[:, :5] = np.frombuffer(cols[0], np.uint8).reshape(-1, 5)
-                found.setdefault(p, []).append((low.view(np.uint64).ravel() | np.uint64(p << 40), np.frombuffer(cols[2], np.int64)[number], np.frombuffer(cols[3], np.int64)[number]))
-        for p in list(found):
-            hashes, ids, keys = (np.concatenate(x) for x in zip(*found.pop(p), strict=True))
+                found.append((low.view(np.uint64).ravel() | np.uint64(p << 40), np.frombuffer(cols[2], np.int64)[number], np.frombuffer(cols[3], np.int64)[number]))
+            hashes, ids, keys = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(hashes, kind="stable")
             hashes, ids, keys = hashes[order], ids[order], keys[order]
             first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
@@ -319,7 +373,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     # Small Arrow batches bound the packed arrays, whatever the length of the texts.
     packed = slim.select("doc_id", "r1", "text").mapInArrow(anchors, "part long, hashes binary, number binary, ids binary, keys binary")
-    lists = packed.repartition(n_parts, "part").mapInArrow(shared, "r1 long, shared binary")
+    lists = packed.repartitionById(n_tasks, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(shared, "r1 long, shared binary")
     per_doc = written(lists, "shared").groupBy("r1").agg(F.collect_list("shared").alias("shared"))
 
     def surroundings(batches: Iterator) -> Iterator:
@@ -356,12 +410,10 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         import pyarrow as pa
 
         kinds = [np.uint8, np.uint64, np.int64, np.uint8, np.uint8, np.int64, np.int64, np.int64]
-        found: dict[int, list] = {}
-        for batch in batches:
-            for p, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(p, []).append([_unpack(record[0], np.uint8), *[np.frombuffer(x, kind) for x, kind in zip(record[1:], kinds[1:], strict=True)]])
-        for p in list(found):
-            context, hashes, rel, lo, hi, ids, k1, k2 = (np.concatenate(x) for x in zip(*found.pop(p), strict=True))
+        for _, rows in _one_part_at_a_time(batches):
+            found = [[_unpack(record[0], np.uint8), *[np.frombuffer(x, kind) for x, kind in zip(record[1:], kinds[1:], strict=True)]] for (record,) in rows]
+            context, hashes, rel, lo, hi, ids, k1, k2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            del found
             context = context.reshape(len(hashes), width - 1 + length)
             flags = earlier_windows(context, lo.astype(np.int64), hi.astype(np.int64), hashes, ids, length)
             edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -372,7 +424,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in out], names=["r1", "r2", "start", "end"])
 
     near = slim.join(per_doc, "r1").select("doc_id", "r1", "r2", "text", "shared")
-    records = near.mapInArrow(surroundings, "part long, record array<binary>").repartition(n_parts, "part")
+    records = near.mapInArrow(surroundings, "part long, record array<binary>").repartitionById(n_tasks, F.col("part").cast("int")).sortWithinPartitions("part")
     pieces = written(records.mapInArrow(sorted_runs, "r1 long, r2 long, start long, end long").distinct(), "pieces")
     # Overlapping pieces of a document become maximal runs; adjacent ones count as one.
     ordered = F.sort_array(F.collect_list(F.struct("start", "end")))
@@ -396,15 +448,16 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``removed`` (runs of bytes, original offsets), ``n_bytes`` and ``kept_bytes`` (binary)."""
-    runs = removed_runs(docs, length, id_col, text_col).select(F.col("r1").alias("__cw_r1"), F.col("r2").alias("__cw_r2"), F.col("runs").alias("removed"))
-    r1, r2 = identity(id_col, text_col)
-    keyed = docs.withColumns({"__cw_r1": r1, "__cw_r2": r2})
-    joined = keyed.join(F.broadcast(runs) if runs.count() <= BROADCAST_ROWS // 4 else runs, ["__cw_r1", "__cw_r2"], "left").drop("__cw_r1", "__cw_r2")
-    raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    joined = joined.withColumn("__cw_raw", raw)
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed", lambda r: r["end"]))
-    starts = F.concat(F.transform("removed", lambda r: r["start"]), F.array(F.octet_length("__cw_raw").cast("long")))
-    parts = F.zip_with(ends, starts, lambda a, b: F.hex(F.substring(F.col("__cw_raw"), (a + 1).cast("int"), (b - a).cast("int"))))
-    kept = F.when(F.col("removed").isNull(), F.col("__cw_raw")).otherwise(F.unhex(F.array_join(parts, "")))
-    return joined.withColumns({"n_bytes": F.octet_length("__cw_raw").cast("long"), "kept_bytes": kept}).drop("__cw_raw")
+    """``docs`` with ``removed`` (runs of bytes, original offsets; null if there are none), ``n_bytes`` and ``kept_bytes`` (binary)."""
+    own = Sealed(docs)
+    ident, text = own[id_col], own[text_col].cast("string")
+    runs = removed_runs(own.df, length, ident, text).withColumnRenamed("runs", "__removed")
+    size = runs.agg(F.sum(32 + 16 * F.size("__removed"))).first()[0] or 0
+    r1, r2 = identity(ident, text)
+    joined = own.df.withColumns({"r1": r1, "r2": r2}).join(F.broadcast(runs) if size <= BROADCAST_BYTES else runs, ["r1", "r2"], "left")
+    joined = joined.withColumn("__raw", F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__removed", lambda r: r["end"]))
+    starts = F.concat(F.transform("__removed", lambda r: r["start"]), F.array(F.octet_length("__raw").cast("long")))
+    parts = F.zip_with(ends, starts, lambda a, b: F.hex(F.substring(F.col("__raw"), (a + 1).cast("int"), (b - a).cast("int"))))
+    kept = F.when(F.col("__removed").isNull(), F.col("__raw")).otherwise(F.unhex(F.array_join(parts, "")))
+    return own.back(joined, {"removed": F.col("__removed"), "n_bytes": F.octet_length("__raw").cast("long"), "kept_bytes": kept})
