@@ -12,8 +12,11 @@ find the place where the partial pass ends, so that no pattern is ever sorted in
 what is still open then goes to the one further document that fits it best.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last;
-repeated rows are separate documents with one place in the order each; a table without
-words takes nothing; an empty table gives no rows.
+repeated rows are separate documents that share one place in the order, and are taken
+together; equal digests are ordered by id, then size; texts of any length count whole; a table
+without words takes nothing; an empty table gives no rows; in :func:`mix` a column with the
+name of an output column, whatever its case, gives way to it, while :func:`mixed_rows` keeps
+all columns.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words, written
+from .common import Sealed, words, written
 
 MAX_PATTERNS = 200_000
+#: Bytes of a table with one row for each pattern that may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def water_fill(sizes: list[int], weights: list[int], percent: int, cap: int) -> list[Fraction]:
@@ -122,72 +127,75 @@ def _digest(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), percent: int = 150, max_repeat: int = 2, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words, repeats counted).
-
-    ``sources_col`` holds one source, or an array of them for documents that belong to
-    several. For such documents source_size and target are those of the first of their
-    sources by code point.
-    """
-    spark: SparkSession = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    several = isinstance(docs.schema[sources_col].dataType, T.ArrayType)
-    pattern = F.array_sort(F.array_distinct(F.col(sources_col))) if several else F.array(F.col(sources_col).cast("string"))
+def _taken(own: Sealed, weights: list[int], percent: int, max_repeat: int, seed: int, id_col: str, text_col: str, sources_col: str) -> tuple[DataFrame, Column]:
+    """The sealed rows with size, source_size and target, and how often each is taken."""
+    spark: SparkSession = own.df.sparkSession
+    ident, text, sources = own[id_col], own[text_col].cast("string"), own[sources_col]
+    pattern = F.array_sort(F.array_distinct(sources)) if isinstance(own.kind(sources_col), T.ArrayType) else F.array(sources.cast("string"))
     # Patterns meet by their text form; null keeps a name that no source has.
     key = F.to_json(F.struct(F.coalesce(pattern, F.array(F.lit(None).cast("string"))).alias("s")), {"ignoreNullFields": "false"})
-    digest = _digest(F.col(id_col), seed)
     # The counted sizes are used three times; the texts stay where they are.
-    sized = docs.withColumns({"__cw_key": key, "__cw_digest": digest, "size": F.size(words(text)).cast("long")})
-    slim = written(sized.select(F.col(id_col).alias("id"), "__cw_key", "__cw_digest", "size"), "sizes")
-    bucket = F.substring("__cw_digest", 1, 3)
-    sums = written(slim.groupBy("__cw_key", bucket.alias("bucket")).agg(F.sum("size").alias("size")), "sums")
-    per_pattern = sums.groupBy("__cw_key").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+    sized = own.df.withColumns({"key": key, "digest": _digest(ident, seed), "size": F.size(words(text)).cast("long")})
+    slim = written(sized.select(ident.alias("id"), "key", "digest", "size"), "sizes")
+    bucket = F.substring("digest", 1, 3)
+    sums = written(slim.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("size")), "sums")
+    per_pattern = sums.groupBy("key").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(per_pattern) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: merge rare ones first")
-    plan = plan_mix({r["__cw_key"]: int(r["size"] or 0) for r in per_pattern}, list(weights), percent, max_repeat)
-    plan_df = spark.createDataFrame(
-        [(k, *v) for k, v in plan.items()], "__cw_key string, source_size long, target double, passes long, rest long"
-    )
+    # A row for each pattern: beside documents such a table is broadcast if it is small, so
+    # that the documents of one pattern don't meet in one task.
+    small = sum(len(r["key"]) + 256 for r in per_pattern) <= BROADCAST_BYTES
+    beside = F.broadcast if small else lambda df: df
+    plan = plan_mix({r["key"]: int(r["size"] or 0) for r in per_pattern}, list(weights), percent, max_repeat)
+    plan_df = spark.createDataFrame([(k, rest) for k, (_, _, _, rest) in plan.items()], "key string, rest long")
     # Buckets in digest order: the partial pass takes whole buckets, then part of one.
-    before = F.sum("size").over(W.partitionBy("__cw_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    edges = sums.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).join(plan_df.select("__cw_key", "rest"), "__cw_key")
-    edge = edges.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest"))).select("__cw_key", "bucket", "before", "rest")
+    before = F.sum("size").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    edges = sums.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).join(beside(plan_df), "key")
+    edge = edges.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest"))).select("key", "bucket", "before", "rest")
     # Only the documents of one bucket per pattern are ordered among themselves.
-    tied = slim.withColumn("bucket", bucket).join(edge, ["__cw_key", "bucket"])
-    run = F.sum("size").over(W.partitionBy("__cw_key").orderBy("__cw_digest", "id", "size"))  # equal rows go together
+    tied = slim.withColumn("bucket", bucket).join(beside(edge), ["key", "bucket"])
+    run = F.sum("size").over(W.partitionBy("key").orderBy("digest", "id", "size"))  # equal rows go together
     chosen = tied.withColumn("until", F.col("before") + run).where(F.col("until") <= F.col("rest"))
-    cut = chosen.groupBy("__cw_key").agg(F.max(F.struct("__cw_digest", "id", "size")).alias("last"), F.max("until").alias("until"))
-    cut = edge.join(cut, "__cw_key", "left").select("__cw_key", "bucket", "last", F.coalesce("until", "before").alias("until"))
-    ends = {r["__cw_key"]: r for r in cut.collect()}  # a row per pattern
-    id_kind = docs.schema[id_col].dataType.simpleString()
+    cut = chosen.groupBy("key").agg(F.max(F.struct("digest", "id", "size")).alias("last"), F.max("until").alias("until"))
+    cut = edge.join(cut, "key", "left").select("key", "bucket", "last", F.coalesce("until", "before").alias("until"))
+    ends = {r["key"]: r for r in cut.collect()}  # a row per pattern
     rows = []
     for k, (source_size, target, passes, rest) in plan.items():
         e = ends.get(k)
-        last = (e["last"]["__cw_digest"], e["last"]["id"], e["last"]["size"]) if e and e["last"] else (None, None, None)
+        last = (e["last"]["digest"], e["last"]["id"], e["last"]["size"]) if e and e["last"] else (None, None, None)
         rows.append((k, source_size, target, passes, rest - e["until"] if e else 0, e["bucket"] if e else None, *last))
-    final = spark.createDataFrame(
-        rows, f"__cw_key string, source_size long, target double, __cw_passes long, __cw_gap long, __cw_bucket string, __cw_last string, __cw_id {id_kind}, __cw_size long"
-    )
-    own = F.substring("__cw_digest", 1, 3)
+    final = spark.createDataFrame(rows, f"key string, source_size long, target double, passes long, gap long, last_bucket string, last_digest string, last_id {own.kind(id_col).simpleString()}, last_size long")
 
-    def in_prefix(ident: Column) -> Column:
+    def in_prefix(x: Column) -> Column:
         """Whether the partial pass holds the document: a whole bucket, or up to the cut in the last."""
-        place = F.struct(F.col("__cw_digest"), ident.alias("id"), F.col("size").alias("size"))
-        limit = F.struct(F.col("__cw_last").alias("__cw_digest"), F.col("__cw_id").alias("id"), F.col("__cw_size").alias("size"))
-        edge_part = (own == F.col("__cw_bucket")) & F.col("__cw_last").isNotNull() & (place <= limit)
-        return F.col("__cw_bucket").isNotNull() & ((own < F.col("__cw_bucket")) | edge_part)
+        place = F.struct(F.col("digest"), x.alias("id"), F.col("size"))
+        limit = F.struct(F.col("last_digest").alias("digest"), F.col("last_id").alias("id"), F.col("last_size").alias("size"))
+        edge_part = (bucket == F.col("last_bucket")) & F.col("last_digest").isNotNull() & (place <= limit)
+        return F.col("last_bucket").isNotNull() & ((bucket < F.col("last_bucket")) | edge_part)
 
     # What the cut leaves open is filled by the one further document that fits it best.
-    miss = F.abs(F.col("size") - F.col("__cw_gap"))
-    spare = slim.join(final, "__cw_key").where((F.col("__cw_gap") > 0) & (F.col("size") > 0) & ~in_prefix(F.col("id")) & (miss < F.col("__cw_gap")))
-    best = spare.groupBy("__cw_key").agg(F.min(F.struct(miss.alias("miss"), "__cw_digest", "id", "size")).alias("b"))
-    fill = best.select("__cw_key", F.col("b.__cw_digest").alias("__cw_fill"), F.col("b.id").alias("__cw_fill_id"), F.col("b.size").alias("__cw_fill_size"))
-    final = written(final.join(fill, "__cw_key", "left"), "mix")
-    joined = sized.join(final, "__cw_key", "left")
-    filler = (F.col("__cw_digest") == F.col("__cw_fill")) & F.col(id_col).eqNullSafe(F.col("__cw_fill_id")) & (F.col("size") == F.col("__cw_fill_size"))
-    extra = F.when(in_prefix(F.col(id_col)) | F.coalesce(filler, F.lit(False)), 1).otherwise(0)
-    taken = F.col("size") * (F.col("__cw_passes") + extra)
-    return joined.withColumn("taken", taken.cast("long")).drop(*[c for c in joined.columns if c.startswith("__cw_")])
+    miss = F.abs(F.col("size") - F.col("gap"))
+    spare = slim.join(beside(final), "key").where((F.col("gap") > 0) & (F.col("size") > 0) & ~in_prefix(F.col("id")) & (miss < F.col("gap")))
+    best = spare.groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "digest", "id", "size")).alias("b"))
+    fill = best.select("key", F.col("b.digest").alias("fill_digest"), F.col("b.id").alias("fill_id"), F.col("b.size").alias("fill_size"))
+    final = written(final.join(fill, "key", "left"), "mix")
+    joined = sized.join(beside(final), "key", "left")
+    filler = (F.col("digest") == F.col("fill_digest")) & ident.eqNullSafe(F.col("fill_id")) & (F.col("size") == F.col("fill_size"))
+    extra = F.when(in_prefix(ident) | F.coalesce(filler, F.lit(False)), 1).otherwise(0)
+    return joined, F.col("passes") + extra
+
+
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), percent: int = 150, max_repeat: int = 2, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source") -> DataFrame:
+    """``docs`` with size, source_size, target and taken (words, repeats counted).
+
+    ``sources_col`` holds one source, or an array of them for documents that belong to
+    several. For such documents source_size and target are those of the first of their
+    sources by code point.
+    """
+    own = Sealed(docs)
+    joined, times = _taken(own, weights, percent, max_repeat, seed, id_col, text_col, sources_col)
+    taken = (F.col("size") * times).cast("long")
+    return own.back(joined, {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken})
 
 
 def plan_mix(sizes: dict[str, int], weights: list[int], percent: int, max_repeat: int) -> dict[str, tuple[int, float, int, int]]:
@@ -219,9 +227,10 @@ def _source_sizes(sizes: dict[str, int], sets: dict[str, list], place: dict) ->
     return out
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, columns unchanged."""
-    done = mix(docs, **options)
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+def mixed_rows(docs: DataFrame, weights: list[int] = (3, 1, 2), percent: int = 150, max_repeat: int = 2, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it is taken, all columns unchanged."""
+    own = Sealed(docs)
+    joined, times = _taken(own, weights, percent, max_repeat, seed, id_col, text_col, sources_col)
     # array_repeat keeps the row together; no join back.
-    return done.withColumn("__cw_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.array_repeat(F.lit(0), F.when(F.col("size") > 0, times).otherwise(0).cast("int"))
+    return own.back(joined.withColumn("copy", F.explode(copies)), {})
