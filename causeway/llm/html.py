@@ -3,14 +3,16 @@
 A page becomes a tree of DOM nodes. Every node carries a binary label (content or not), a
 unary potential from its own features, and a parent-child potential that depends on the
 child's kind. Sum-product messages go up the tree and down again, which gives exact content
-marginals; blocks whose marginal exceeds one half are the text. The potentials are trained by
-pseudo-likelihood on labelled pages (``html_training``), on the driver, from a fixed and
-bounded number of pages (``TRAINING_PAGES``).
+marginals; blocks whose marginal exceeds one half are the text. The potentials are trained to
+the maximum likelihood of labelled pages (``html_training``): the gradient is what the labels
+hold less what the marginals, of nodes and of links, expect. Training is on the driver, from
+a fixed and bounded number of pages (``TRAINING_PAGES``).
 
 Defined cases: null or empty html gives the empty text; text outside any tag is a block of
 its own; unclosed and misnested tags are closed by their parents; comments, scripts, styles,
-templates and form controls never hold text; repeated rows are extracted each; other columns
-pass through.
+templates and form controls never hold text; a marginal of exactly one half is no content;
+repeated rows are extracted each; pages of any length are read whole; an empty table gives no
+rows; other columns pass through, but for one with the name of the output column.
 """
 
 from __future__ import annotations
@@ -269,33 +271,56 @@ class Model:
         return "\n\n".join(self.contents(parse(page))) if page else ""
 
 
+def _through(log_odds: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.logaddexp(j + log_odds, -j) - np.logaddexp(-j + log_odds, j)
+
+
+def forest_marginals(unary: np.ndarray, parents: np.ndarray, levels: list[np.ndarray], pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(content) of every node of many trees, and P(same label as the parent); sum-product level by level.
+
+    ``parents`` is -1 for roots; ``levels`` lists the nodes of every depth.
+    """
+    total, up, down = unary.copy(), np.zeros_like(unary), np.zeros_like(unary)
+    for own in reversed(levels[1:]):
+        up[own] = _through(total[own], pair[own])
+        np.add.at(total, parents[own], up[own])
+    for own in levels[1:]:
+        down[own] = _through(total[parents[own]] - up[own], pair[own])
+        total[own] += down[own]
+    linked = parents >= 0
+    a, b = total - down, np.where(linked, total[np.maximum(parents, 0)] - up, 0)
+    same, other = pair + np.logaddexp(0, a + b), -pair + np.logaddexp(a, b)
+    logistic = lambda t: 1 / (1 + np.exp(-np.clip(t, -500, 500)))
+    return logistic(total), np.where(linked, logistic(same - other), 0.0)
+
+
 def train(labelled: list[tuple[list[Node], list[int]]], rounds: int = 400, decay: float = 1e-3) -> Model:
-    """Maximum pseudo-likelihood: each label given its own features and its neighbours' labels."""
-    xs, ys, agree = [], [], []
+    """Maximum likelihood by gradient ascent; all pages are one forest."""
+    xs, ys, ks, ps, ds, base = [], [], [], [], [], 0
     for nodes, labels in labelled:
-        texts = [block_text(n) if n.tag is None else None for n in nodes]
-        x, kinds = features(nodes, texts)
-        spin = 2 * np.asarray(labels, float) - 1
-        z = np.zeros((len(nodes), len(KINDS)))  # neighbours' spins by the kind of the link's child
-        for i, node in enumerate(nodes):
-            if node.parent >= 0:
-                z[i, kinds[i]] += spin[node.parent]
-                z[node.parent, kinds[i]] += spin[i]
+        x, kinds = features(nodes, [block_text(n) if n.tag is None else None for n in nodes])
+        depth: list[int] = []
+        for n in nodes:
+            depth.append(depth[n.parent] + 1 if n.parent >= 0 else 0)
         xs.append(x)
-        ys.append(np.asarray(labels, float))
-        agree.append(z)
-    x, y, z = np.concatenate(xs), np.concatenate(ys), np.clip(np.concatenate(agree), -3, 3)
-    both = np.concatenate([x, 2 * z], 1)
-    theta = np.zeros(both.shape[1])
-    velocity = np.zeros_like(theta)
-    nx = x.shape[1]
+        ys += labels
+        ks += kinds
+        ds += depth
+        ps += [base + n.parent if n.parent >= 0 else -1 for n in nodes]
+        base += len(nodes)
+    x, y, kinds, parents, depth = np.concatenate(xs), np.asarray(ys, float), np.asarray(ks), np.asarray(ps), np.asarray(ds)
+    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+    linked = parents >= 0
+    agree = np.where(linked, y == y[np.maximum(parents, 0)], 0.0)
+    weights, couplings = np.zeros(x.shape[1]), np.zeros(len(KINDS))
+    fast_w, fast_c = np.zeros_like(weights), np.zeros_like(couplings)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(both @ theta, -30, 30)))
-        gradient = both.T @ (y - p) / len(y) - decay * theta
-        velocity = 0.9 * velocity + gradient
-        theta += 0.5 * velocity
-        theta[nx:] = np.maximum(theta[nx:], 0)  # links only ever attract
-    return Model(theta[:nx], theta[nx:])
+        p, same = forest_marginals(x @ weights, parents, levels, couplings[kinds])
+        fast_w = 0.9 * fast_w + x.T @ (y - p) / len(y) - decay * weights
+        fast_c = 0.9 * fast_c + np.bincount(kinds, 2 * (agree - same), len(KINDS)) / len(y) - decay * couplings
+        weights += 0.5 * fast_w
+        couplings = np.maximum(couplings + 0.5 * fast_c, 0)  # links only ever attract
+    return Model(weights, couplings)
 
 
 _MODELS: dict[int, Model] = {}
