@@ -8,8 +8,10 @@ compressed keep bitmap per document, never as text.
 
 Defined cases: a null or empty text is one empty line; every row is a document of its own
 (repeated rows and rows with a null id too), unless ``different`` counts rows of the same keys
-in the same order as one; keys shorter than ``min_chars`` never count; an
-empty table gives no rows; other columns of the documents pass through untouched.
+in the same order as one; equal places don't occur; keys shorter than ``min_chars`` never count;
+texts of any length are split whole; an empty table gives no rows; other columns pass through,
+and one with the name of an output column, whatever its case, gives way to it, while
+:func:`without_frequent_lines` keeps all columns.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, shuffle_width, written
+from .common import Sealed, identity, shuffle_width, written
 
 #: ASCII white space, stripped from both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -33,16 +35,20 @@ def folded(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def line_table(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def _of(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def line_table(docs: DataFrame, min_chars: int, id_col: str | Column, text_col: str | Column) -> DataFrame:
     """(rid, doc, r1, r2, same, pos, h1, h2): every line whose key has ``min_chars`` code points.
 
     ``same`` is equal for rows that have the same such keys in the same order.
     """
-    text = F.col(text_col).cast("string")
+    text = _of(text_col).cast("string")
     keys = F.transform(split_lines(folded(text)), lambda x: F.btrim(x, F.lit(STRIPPED)))
     r1, r2 = identity(id_col, text_col)
     # The row number is made below the explosion: made beside it, each line would get its own.
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), r1.alias("r1"), r2.alias("r2"), keys.alias("keys"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), _of(id_col).alias("doc"), r1.alias("r1"), r2.alias("r2"), keys.alias("keys"))
     # So is the hash: made beside it, every line would hash its whole document again.
     rows = rows.withColumn("same", F.xxhash64(F.lit(11), F.filter("keys", lambda x: F.char_length(x) >= min_chars)))
     rows = rows.select("rid", "doc", "r1", "r2", "same", F.posexplode("keys").alias("pos", "key"))
@@ -70,7 +76,7 @@ def frequent_keys(lines: DataFrame, min_docs: int, different: bool = False) -> D
     )
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", different: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str | Column = "doc_id", text_col: str | Column = "text", different: bool = False) -> DataFrame:
     """(r1, r2, dropped) of the documents that lose lines; r1 and r2 identify id and text.
 
     ``dropped`` is the compressed bitmap: the runs (start, end) of dropped lines in order,
@@ -94,18 +100,32 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     return per_row.groupBy("r1", "r2").agg((F.max_by("dropped", F.size("dropped")) if keep_first else F.first("dropped")).alias("dropped"))
 
 
+def _judged(own: Sealed, text: Column, ident: Column, min_docs: int, min_chars: int, keep_first: bool, different: bool) -> tuple[DataFrame, Column, Column]:
+    """The sealed rows with their lines and dropped runs, the kept text, and the number of dropped lines."""
+    bitmaps = keep_bitmaps(own.df, min_docs, min_chars, keep_first, ident, text, different)
+    r1, r2 = identity(ident, text)
+    joined = own.df.withColumns({"r1": r1, "r2": r2}).join(bitmaps, ["r1", "r2"], "left").withColumn("__lines", split_lines(text))
+    first = F.transform("dropped", lambda r: r["start"])
+    last = F.transform("dropped", lambda r: r["end"])
+    kept_runs = F.zip_with(F.concat(F.array(F.lit(0)), last), F.concat(first, F.array(F.size("__lines"))), lambda a, b: F.slice(F.col("__lines"), a + 1, b - a))
+    kept = F.when(F.col("dropped").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.flatten(kept_runs), "\n"))
+    n_dropped = F.coalesce(F.aggregate("dropped", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]), F.lit(0).cast("long"))
+    return joined, kept, n_dropped
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", different: bool = False) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` (before dropping) and ``n_dropped``."""
-    bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col, different)
-    r1, r2 = identity(id_col, text_col)
-    joined = docs.withColumns({"__cw_r1": r1, "__cw_r2": r2}).join(
-        bitmaps.select(F.col("r1").alias("__cw_r1"), F.col("r2").alias("__cw_r2"), F.col("dropped").alias("__cw_dropped")), ["__cw_r1", "__cw_r2"], "left"
-    )
-    lines = split_lines(F.col(text_col).cast("string"))
-    joined = joined.withColumn("__cw_lines", lines)
-    first = F.transform("__cw_dropped", lambda r: r["start"])
-    last = F.transform("__cw_dropped", lambda r: r["end"])
-    kept_runs = F.zip_with(F.concat(F.array(F.lit(0)), last), F.concat(first, F.array(F.size("__cw_lines"))), lambda a, b: F.slice(F.col("__cw_lines"), a + 1, b - a))
-    kept = F.when(F.col("__cw_dropped").isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).otherwise(F.array_join(F.flatten(kept_runs), "\n"))
-    n_dropped = F.coalesce(F.aggregate("__cw_dropped", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]), F.lit(0).cast("long"))
-    return joined.withColumns({"kept_text": kept, "n_lines": F.size("__cw_lines").cast("long"), "n_dropped": n_dropped}).drop("__cw_r1", "__cw_r2", "__cw_dropped", "__cw_lines")
+    own = Sealed(docs)
+    joined, kept, n_dropped = _judged(own, own[text_col].cast("string"), own[id_col], min_docs, min_chars, keep_first, different)
+    return own.back(joined, {"kept_text": kept, "n_lines": F.size("__lines").cast("long"), "n_dropped": n_dropped})
+
+
+def without_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, different: bool = False) -> DataFrame:
+    """All columns of ``docs``, in their order; the text is what is kept, ``chars_col`` its code points."""
+    own = Sealed(docs)
+    joined, kept, _ = _judged(own, own[text_col].cast("string"), own[id_col], min_docs, min_chars, keep_first, different)
+    joined = joined.withColumn("__kept", kept)
+    made = {text_col: F.col("__kept").cast(own.kind(text_col))}
+    if chars_col is not None:
+        made[chars_col] = F.char_length("__kept").cast(own.kind(chars_col))
+    return own.back(joined, made).select(*[f"`{c}`" for c in docs.columns])

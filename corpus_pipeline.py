@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import written
 from causeway.llm.jaccard import one_of_each
-from causeway.llm.lines import dedup_lines
+from causeway.llm.lines import without_frequent_lines
 from causeway.llm.mixing import mixed_rows
 from causeway.llm.packing import pack_documents
 from causeway.llm.quality import keep_good
@@ -27,8 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies of a document count once, so their text is still there for the next stage to keep one.
     """
-    done = dedup_lines(docs, min_docs=10, min_chars=1, different=True)
-    return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return without_frequent_lines(docs, min_docs=10, min_chars=1, chars_col="n_chars", different=True)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: Tokens, hashes of the mix and sequence numbers are beyond SQL; tests hold a brute-force run against it.
+#: Tokens, hashes of the mix and sequence numbers are beyond SQL; a test holds whole runs against a brute-force version.
 ORACLE_SQL = None
 
 
