@@ -52,12 +52,12 @@ def test_sum_of_squares_places_every_length():
 
 
 def test_lines(docs, none):
-    rows = {r.doc_id: r for r in lines.dedup_lines(docs.drop("n_lines"), min_docs=2).collect() if r.doc_id not in (4, None)}
+    rows = {r.doc_id: r for r in lines.dedup_lines(docs, min_docs=2).collect() if r.doc_id not in (4, None)}
     assert rows[5].n_lines == 4 and rows[5].n_dropped == 0 and rows[2].n_lines == 1
-    twice = [r for r in lines.dedup_lines(docs.drop("n_lines"), min_docs=2).collect() if r.doc_id == 4]
+    twice = [r for r in lines.dedup_lines(docs, min_docs=2).collect() if r.doc_id == 4]
     assert [r.kept_text for r in twice] == ["", ""]
     assert rows[0].kept_text == "" and rows[1].n_dropped == 0
-    assert lines.dedup_lines(none.drop("n_lines")).count() == 0
+    assert lines.dedup_lines(none).count() == 0
 
 
 def test_quality(docs, none):
@@ -152,13 +152,27 @@ def test_jaccard(spark, docs, none):
 
 def test_units(spark, docs, none):
     long = "One two three four five six seven Eight"
-    rows = [(3, f"{long}\nkeep this"), (1, f"own line\n  one two  three four five six seven eight "), (2, f"{long}\n{long}\nx")]
+    rows = [(3, f"{long}\nkeep this\nyes"), (1, "own line\n  one two  three four five six seven eight \nYes"), (2, f"{long}\n{long}\n\nx\n")]
     got = {r.doc_id: r for r in units.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].removed is None and got[3].kept_text == "keep this" and got[2].kept_text == "x"
-    assert [(r.start, r.end) for r in got[2].removed] == [(0, len(long)), (len(long) + 1, 2 * len(long) + 1)]
+    assert got[1].removed is None and got[3].kept_text == "keep this" and got[2].kept_text == "\nx\n" and got[2].n_lines == 5
+    assert [(r.start, r.end, r.whole) for r in got[2].removed] == [(0, len(long), True), (len(long) + 1, 2 * len(long) + 1, True)]
     assert units.drop_repeated_units(docs).count() == len(ROWS) and units.drop_repeated_units(none).count() == 0
 
 
+def test_units_find_passages_inside_lines(spark):
+    passage = "Short one.  The second sentence here has many words. Third sentences of it are long\tenough too! And the fourth one ends the whole passage."
+    rows = [(1, f"Before it came this. {passage}"), (2, f"Some other words stand here, {passage} And what follows is different text in every way.")]
+    got = {r.doc_id: r for r in units.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cut = passage[passage.index("Third") :] + " "
+    assert got[1].removed is None and got[2].kept_text == rows[1][1].replace(cut, "")
+    (a, b), text = [(r.start, r.end) for r in got[2].removed], rows[1][1]
+    assert text[a[0] : a[1]] + text[b[0] : b[1]] == cut and not any(r.whole for r in got[2].removed)
+    # Paragraphs as units: the same text in other lines is another unit, an equal paragraph is not.
+    rows = [(1, "a b\nc d\n\nlast"), (2, "first\n\na  b c D"), (3, "a b\nc d")]
+    got = {r.doc_id: r.kept_text for r in units.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string"), separator="\n\n").collect()}
+    assert got == {1: "a b\nc d\n\nlast", 2: "first", 3: ""}
+
+
 def test_suffixes(spark, none):
     rng = np.random.default_rng(9)
     base = "".join(rng.choice(list("abé \n"), 400))
