@@ -44,9 +44,8 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _UP = np.cumprod(np.append(np.uint64(1), np.full(SLICE, _BASE, np.uint64)), dtype=np.uint64)
 _DOWN = np.cumprod(np.append(np.uint64(1), np.full(SLICE, np.uint64(pow(int(_BASE), -1, 2**64)), np.uint64)), dtype=np.uint64)
 _LAST_ID = np.iinfo(np.int64).max
-#: Bytes of text whose anchors make a part, and bytes that a driver-checked broadcast may have.
+#: Bytes of text whose anchors make a part.
 PART_BYTES = 4 << 20
-BROADCAST_BYTES = 8 << 20
 #: Strings that a blind trie takes; larger groups are split by quicksort first.
 BLIND = 4096
 
@@ -315,7 +314,8 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
     texts = written(texts, "texts")
     total = texts.agg(F.sum("bytes")).first()[0] or 0
     first_of = texts.where("n > 1").select("t1", "t2", "first_id")
-    slim = slim.join(F.broadcast(first_of) if 32 * first_of.count() <= BROADCAST_BYTES else first_of, ["t1", "t2"], "left").drop("t1", "t2")
+    # Merged at every size: both sides grow with the documents, and Spark may split a large group of copies.
+    slim = slim.join(first_of.hint("merge"), ["t1", "t2"], "left").drop("t1", "t2")
     is_copy = F.coalesce(F.coalesce("doc_id", F.lit(_LAST_ID)) > F.col("first_id"), F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
     copies = slim.where(is_copy & (F.octet_length("text") >= length)).select("r1", "r2", whole.alias("runs"))
@@ -452,9 +452,8 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     own = Sealed(docs)
     ident, text = own[id_col], own[text_col].cast("string")
     runs = removed_runs(own.df, length, ident, text).withColumnRenamed("runs", "__removed")
-    size = runs.agg(F.sum(32 + 16 * F.size("__removed"))).first()[0] or 0
     r1, r2 = identity(ident, text)
-    joined = own.df.withColumns({"r1": r1, "r2": r2}).join(F.broadcast(runs) if size <= BROADCAST_BYTES else runs, ["r1", "r2"], "left")
+    joined = own.df.withColumns({"r1": r1, "r2": r2}).join(runs.hint("merge"), ["r1", "r2"], "left")
     joined = joined.withColumn("__raw", F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__removed", lambda r: r["end"]))
     starts = F.concat(F.transform("__removed", lambda r: r["start"]), F.array(F.octet_length("__raw").cast("long")))
