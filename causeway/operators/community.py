@@ -31,6 +31,48 @@ def coassociation(parts: DataFrame) -> DataFrame:
     return x.join(y, ["run", "community"]).where("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def add_counts(counts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Earlier counts (a, b, n) and those of further runs together; no earlier run is read again."""
+    return counts.unionByName(coassociation(parts)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def shares(counts: DataFrame, runs: int) -> DataFrame:
+    """(a, b, share): counts over the number of runs."""
+    return counts.select("a", "b", (F.col("n") / runs).alias("share"))
+
+
+def coassociation_quantiles(counts: DataFrame, runs: int, qs: tuple[float, ...] = (0.9, 0.95)) -> DataFrame:
+    """(q, value): quantiles of all positive cells of the symmetric matrix, diagonal included; 0 without any.
+
+    Cells off the diagonal count twice; values are counted before they are ranked, and there
+    are at most as many as runs.
+    """
+    cells = counts.where("n > 0").groupBy("n").agg(F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(2)).alias("cells"))
+    marks = F.array(*map(F.lit, qs))
+    at = cells.agg(F.percentile(F.col("n") / runs, marks, F.col("cells")).alias("v"))
+    return at.select(F.explode(F.arrays_zip(marks.alias("q"), F.coalesce("v", F.array(*[F.lit(0.0)] * len(qs))).alias("value"))).alias("x")).select(F.col("x.q").alias("q"), F.col("x.value").alias("value"))
+
+
+def ever_together(parts: DataFrame, gene) -> DataFrame:
+    """(gene): genes that share the community of ``gene`` in any run, itself included."""
+    home = parts.where(F.col("gene") == gene).select("run", "community")
+    return parts.join(home, ["run", "community"], "left_semi").select("gene").distinct()
+
+
+def matrix_change(prev: DataFrame, prev_runs: int, curr: DataFrame, curr_runs: int, q: float = 0.9, eps: float = 1e-9) -> DataFrame:
+    """(rel_change): quantile of the relative change over all cells of two co-association matrices of the same genes.
+
+    Cells that are 0 in both count too; changes are counted before they are ranked.
+    """
+    n = prev.select("a").union(prev.select("b")).union(curr.select("a")).union(curr.select("b")).distinct().count()
+    both = prev.select("a", "b", (F.col("n") / prev_runs).alias("p")).join(curr.select("a", "b", (F.col("n") / curr_runs).alias("c")), ["a", "b"], "full").fillna(0.0, ["p", "c"])
+    change = F.abs(F.col("p") - F.col("c")) / F.greatest("p", F.lit(eps))
+    cells = both.groupBy(change.alias("d")).agg(F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(2)).alias("cells"))
+    known = cells.agg(F.coalesce(F.sum("cells"), F.lit(0)).alias("known"))
+    rest = known.select(F.lit(0.0).alias("d"), (F.lit(n) * F.lit(n) - F.col("known")).alias("cells")).where("cells > 0")
+    return cells.unionByName(rest).agg(F.percentile("d", q, F.col("cells")).alias("rel_change"))
+
+
 def partition_metrics(parts: DataFrame, gene) -> DataFrame:
     per = parts.groupBy("run").agg(F.countDistinct("community").alias("k"))
     home = parts.where(F.col("gene") == gene).select("run", "community")
@@ -124,6 +166,82 @@ def average_linkage(similarity: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def consensus_clusters(parts: DataFrame, max_genes: int = 5000) -> DataFrame:
+    """(gene, community): average linkage on 1 - share, cut at the mean number of communities.
+
+    The number is rounded half to even, and 1 at least. The matrix of all genes is held by one
+    task, so their number is checked; it raises beyond ``max_genes``. Communities are numbered
+    in the order of their first genes.
+    """
+    k = parts.groupBy("run").agg(F.countDistinct("community").alias("k")).agg(F.avg("k"), F.count(F.lit(1))).first()
+    genes = parts.select("gene").distinct()
+    if genes.limit(max_genes + 1).count() > max_genes:
+        raise ValueError(f"more than {max_genes} genes: select a smaller network")
+    if not k[1]:
+        return genes.withColumn("community", F.lit(0).cast("long"))
+    keep, runs = max(1, round(k[0])), k[1]
+    kind = parts.schema["gene"].dataType.simpleString()
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        share = np.zeros((len(names), len(names)))
+        share[at[:, 0], at[:, 1]] = share[at[:, 1], at[:, 0]] = pdf["n"].to_numpy() / runs
+        return pd.DataFrame({"gene": names, "community": average_linkage(share, keep)})
+
+    return coassociation(parts).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: cluster(pdf), f"gene {kind}, community long")
+
+
+def consensus_metrics(clusters: DataFrame, gene) -> DataFrame:
+    """Communities, the largest, and the community of ``gene`` and its size: -1 and 0 if it is absent."""
+    size = clusters.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("gene") == gene).cast("int")).alias("home"))
+    return size.agg(
+        F.count(F.lit(1)).alias("communities"), F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("largest"),
+        F.coalesce(F.max("home") == 1, F.lit(False)).alias("present"), F.coalesce(F.max(F.when(F.col("home") == 1, F.col("community"))), F.lit(-1).cast("long")).alias("home"),
+        F.coalesce(F.max(F.when(F.col("home") == 1, F.col("n"))), F.lit(0).cast("long")).alias("home_size"),
+    )
+
+
+def subcommunities(clusters: DataFrame, gene) -> DataFrame:
+    """(communities, largest, home, home_size, home_genes): the community of ``gene``, whatever its case, with its genes in order."""
+    same = F.upper(F.col("gene").cast("string")) == str(gene).upper()
+    home = clusters.where(same).agg(F.min("community").alias("home"))
+    size = clusters.groupBy("community").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("communities"), F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("largest"))
+    own = clusters.join(F.broadcast(home), F.col("community") == F.col("home"), "left_semi").agg(F.count(F.lit(1)).alias("home_size"), F.sort_array(F.collect_list("gene")).alias("home_genes"))
+    return size.join(F.broadcast(home)).join(F.broadcast(own))
+
+
+def community_export(e: DataFrame, clusters: DataFrame, gene, added: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(genes, edges) of the community of ``gene``: degrees inside it and a Steiner flag; its inner edges."""
+    from causeway.operators import edges
+
+    home = clusters.where(F.col("gene") == gene).select("community")
+    own = clusters.join(F.broadcast(home), "community", "left_semi").select("gene")
+    inner = edges.induced(e, own)
+    extra = own.limit(0) if added is None else added.select("gene").distinct()
+    flag = extra.withColumn("is_steiner", F.lit(1))
+    genes = edges.degrees(inner, own).join(own, "gene", "left_semi").join(flag, "gene", "left").fillna(0, ["is_steiner"])
+    return genes.select("gene", "out_degree", "in_degree", "is_steiner"), inner
+
+
+def export_order(genes: DataFrame) -> DataFrame:
+    return genes.orderBy(F.desc("is_steiner"), F.desc("out_degree"), F.desc("in_degree"), "gene")
+
+
+def top_consensus_network(e: DataFrame, freq: DataFrame, fraction: float, gene, p: float) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes): significant edges between the top genes, which meet the network's names whatever their case.
+
+    Selected genes without such an edge are nodes too, isolated.
+    """
+    from causeway.operators import edges, ranking
+
+    good = e.where(F.col("p_value") <= p)
+    fold = lambda c: F.upper(F.col(c).cast("string"))
+    named = edges.nodes(good).groupBy(fold("gene").alias("u")).agg(F.max("gene").alias("known"))
+    picked = ranking.top_consensus(freq, fraction, gene).withColumn("u", fold("gene")).join(named, "u", "left")
+    return edges.induced_network(good, picked.select(F.coalesce("known", "gene").alias("gene")), p)
+
+
 def stable_consensus(spark: SparkSession, e: DataFrame, gene, start: int = 5000, growth: float = 0.2, tol: float = 0.05, q: float = 0.9, overlap: float = 95.0, max_runs: int | None = None) -> DataFrame:
     """(gene, frequency, runs, stable) around ``gene`` once a further batch of runs no longer changes them.
 
@@ -173,11 +291,12 @@ def edge_betweenness(near: dict[int, set[int]]) -> dict[tuple[int, int], float]:
     return load
 
 
-def girvan_newman(e: DataFrame, k: int, max_edges: int = 20_000) -> DataFrame:
+def girvan_newman(e: DataFrame, k: int | None = None, max_edges: int = 20_000) -> DataFrame:
     """(gene, community): edges of highest betweenness go until ``k`` communities remain.
 
     Each removal needs the whole graph, so this is for small ones: one task, size checked.
-    Ties go to the smaller edge; fewer genes than ``k``: no rows.
+    Without ``k`` it is the number that one Louvain run finds. Ties go to the smaller edge; fewer
+    genes than ``k``: no rows.
     """
     rows = e.select(F.least("gene1", "gene2").alias("u"), F.greatest("gene1", "gene2").alias("v")).where("u <> v").distinct()
     if rows.limit(max_edges + 1).count() > max_edges:
@@ -189,6 +308,10 @@ def girvan_newman(e: DataFrame, k: int, max_edges: int = 20_000) -> DataFrame:
         for a, b in flat.reshape(-1, 2).tolist():
             near[a].add(b)
             near[b].add(a)
+        want = k
+        if want is None:
+            ends = flat.reshape(-1, 2)
+            want = len(set(louvain(ends[:, 0], ends[:, 1], len(names), 0).tolist()))
         while True:
             label: dict[int, int] = {}
             for i in near:
@@ -199,13 +322,13 @@ def girvan_newman(e: DataFrame, k: int, max_edges: int = 20_000) -> DataFrame:
                             label[y] = i
                             todo.append(y)
             found = sorted(set(label.values()))
-            load = edge_betweenness(near) if len(found) < k else {}
+            load = edge_betweenness(near) if len(found) < want else {}
             if not load:
                 break
             a, b = min(load, key=lambda x: (-round(load[x], 9), x))
             near[a].discard(b)
             near[b].discard(a)
-        keep = len(found) >= k
+        keep = len(found) >= want
         number = {c: j for j, c in enumerate(found)}
         return pd.DataFrame({"gene": names[: len(names) * keep], "community": [number[label[i]] for i in near][: len(names) * keep]})
 

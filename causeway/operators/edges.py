@@ -16,9 +16,21 @@ def dual_threshold(e: DataFrame, p: float, genes: list, p_start: float) -> DataF
     return e.where((F.col("p_value") <= p) | (touches & (F.col("p_value") <= p_start)))
 
 
-def digraph(e: DataFrame, order: str) -> DataFrame:
-    """One row per ordered pair; the last by ``order`` wins."""
-    return e.groupBy("gene1", "gene2").agg(F.max_by("p_value", order).alias("p_value"))
+def digraph(e: DataFrame, order: str, second: str | None = None) -> DataFrame:
+    """One row per ordered pair; the last by ``order`` wins.
+
+    With ``second``, another column of p-values, both come along, and their mean as ``p_mean``.
+    """
+    if second is None:
+        return e.groupBy("gene1", "gene2").agg(F.max_by("p_value", order).alias("p_value"))
+    last = e.groupBy("gene1", "gene2").agg(F.max_by(F.struct("p_value", second), order).alias("x")).select("gene1", "gene2", "x.*")
+    return last.withColumn("p_mean", (F.col("p_value") + F.col(second)) / 2)
+
+
+def first_edges(e: DataFrame, order: str) -> DataFrame:
+    """One row per ordered pair; the first by ``order`` wins, with all its columns."""
+    rest = [c for c in e.columns if c not in ("gene1", "gene2")]
+    return e.groupBy("gene1", "gene2").agg(F.min_by(F.struct(*rest), order).alias("x")).select("gene1", "gene2", "x.*")
 
 
 def nodes(e: DataFrame) -> DataFrame:
@@ -40,6 +52,13 @@ def induced(e: DataFrame, genes: DataFrame) -> DataFrame:
     return e.join(g.withColumnRenamed("gene", "gene1"), "gene1", "left_semi").join(g.withColumnRenamed("gene", "gene2"), "gene2", "left_semi")
 
 
+def induced_network(e: DataFrame, genes: DataFrame, p: float) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes): edges up to ``p`` between the genes, and all the genes (gene, isolated)."""
+    inside = induced(e.where(F.col("p_value") <= p), genes)
+    linked = nodes(inside).withColumn("linked", F.lit(True))
+    return inside, genes.select("gene").distinct().join(linked, "gene", "left").select("gene", F.col("linked").isNull().alias("isolated"))
+
+
 def neighbours(e: DataFrame, gene) -> DataFrame:
     out = e.where(F.col("gene1") == gene).select(F.col("gene2").alias("gene"))
     into = e.where(F.col("gene2") == gene).select(F.col("gene1").alias("gene"))
@@ -58,19 +77,22 @@ def compare_neighbours(e: DataFrame, a, b) -> DataFrame:
     return both.select("gene", F.when(F.col("a") & F.col("b"), "shared").when(F.col("a"), "only_a").otherwise("only_b").alias("side"))
 
 
-def connection(e: DataFrame, genes: DataFrame, mode: str) -> DataFrame:
-    """Edges with both ends, or at least one, in ``genes``."""
+def connection(e: DataFrame, genes: DataFrame, mode: str, gene=None) -> DataFrame:
+    """Edges with both ends ("both"), or one at least ("any"), in ``genes``, or between them and ``gene`` ("goi")."""
     g = genes.select("gene").distinct()
     if mode == "both":
         return induced(e, g)
     tag = lambda c: g.select(F.col("gene").alias(c), F.lit(True).alias("in_" + c))
     joined = e.join(tag("gene1"), "gene1", "left").join(tag("gene2"), "gene2", "left")
-    return joined.where(F.col("in_gene1").isNotNull() | F.col("in_gene2").isNotNull()).select(e.columns)
+    a, b = F.col("in_gene1").isNotNull(), F.col("in_gene2").isNotNull()
+    wanted = {"any": lambda: a | b, "goi": lambda: ((F.col("gene1") == gene) & b) | ((F.col("gene2") == gene) & a)}[mode]()
+    return joined.where(wanted).select(e.columns)
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    x = a.select("gene1", "gene2", F.col("p_value").alias("p_a"))
-    return x.join(b.select("gene1", "gene2", F.col("p_value").alias("p_b")), ["gene1", "gene2"])
+    """Edges of both tables with both p-values; the key holds lag if both tables do."""
+    key = ["gene1", "gene2", *(["lag"] if "lag" in a.columns and "lag" in b.columns else [])]
+    return a.select(*key, F.col("p_value").alias("p_a")).join(b.select(*key, F.col("p_value").alias("p_b")), key)
 
 
 def new_edges(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -79,9 +101,15 @@ def new_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     return connection(b, fresh, "any")
 
 
-def undirected(e: DataFrame) -> DataFrame:
-    """(u, v, w): the smaller p of the two directions."""
-    return e.groupBy(F.least("gene1", "gene2").alias("u"), F.greatest("gene1", "gene2").alias("v")).agg(F.min("p_value").alias("w"))
+def undirected(e: DataFrame, terminals: DataFrame | None = None, hop_penalty: float = 0.0) -> DataFrame:
+    """(u, v, w): the smaller p of the two directions, plus ``hop_penalty`` unless both ends are terminals."""
+    pairs = e.groupBy(F.least("gene1", "gene2").alias("u"), F.greatest("gene1", "gene2").alias("v")).agg(F.min("p_value").alias("w"))
+    if terminals is None:
+        return pairs
+    t = terminals.select("gene").distinct()
+    tag = lambda c: t.select(F.col("gene").alias(c), F.lit(True).alias("t" + c))
+    tagged = pairs.join(tag("u"), "u", "left").join(tag("v"), "v", "left")
+    return tagged.select("u", "v", (F.col("w") + F.when(F.col("tu") & F.col("tv"), 0.0).otherwise(hop_penalty)).alias("w"))
 
 
 def redirect(pairs: DataFrame, e: DataFrame) -> DataFrame:
@@ -90,6 +118,99 @@ def redirect(pairs: DataFrame, e: DataFrame) -> DataFrame:
     return keyed.join(pairs.select("u", "v").distinct(), ["u", "v"], "left_semi").select(e.columns)
 
 
-def candidates(e: DataFrame, terminals: DataFrame, p: float, p_max: float) -> DataFrame:
-    """Edges between terminals up to ``p``, and all edges up to ``p_max``."""
+def candidates(e: DataFrame, terminals: DataFrame | None, p: float, p_max: float) -> DataFrame:
+    """Edges between terminals up to ``p``, and all edges up to ``p_max``, each once.
+
+    Without terminals: the edges up to the smaller of both.
+    """
+    if terminals is None:
+        return e.where(F.col("p_value") <= min(p, p_max))
     return induced(e, terminals).where(F.col("p_value") <= p).unionByName(e.where(F.col("p_value") <= p_max)).dropDuplicates()
+
+
+def list_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(gene, side): genes of two lists, as both, only_a or only_b."""
+    x, y = (t.select("gene").distinct().withColumn(n, F.lit(True)) for t, n in ((a, "a"), (b, "b")))
+    return x.join(y, "gene", "full").select("gene", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "only_a").otherwise("only_b").alias("side"))
+
+
+def pairwise(e: DataFrame, gene, others: DataFrame) -> DataFrame:
+    """Edges in both directions between a gene and the listed others, by p (missing last), then source, then target."""
+    rest = others.where(F.col("gene") != gene)
+    p = F.when(~F.isnan("p_value"), F.col("p_value"))
+    return connection(e, rest, "goi", gene).orderBy(p.asc_nulls_last(), "gene1", "gene2")
+
+
+def coverage(e: DataFrame, attempted: int | None = None) -> DataFrame:
+    """(rows_written, pairs_attempted, coverage_fraction, appears_complete) of a table of tests."""
+    n = F.count(F.lit(1))
+    tried = n if attempted is None else F.lit(attempted).cast("long")
+    out = e.agg(n.alias("rows_written"), tried.alias("pairs_attempted"))
+    return out.withColumns({
+        "coverage_fraction": F.when(F.col("pairs_attempted") > 0, F.col("rows_written") / F.col("pairs_attempted")).otherwise(0.0),
+        "appears_complete": F.col("rows_written") == F.col("pairs_attempted"),
+    })
+
+
+def of_communities(e: DataFrame, parts: DataFrame, chosen: list[int]) -> DataFrame:
+    """Edges inside the chosen communities (gene, community), taken together."""
+    return induced(e, parts.where(F.col("community").isin(chosen)))
+
+
+def degree_summary(e: DataFrame, p: float | None = None) -> DataFrame:
+    """Rows, rows up to ``p``, genes, sources, targets and largest total degree of the selected edges."""
+    picked = e if p is None else e.where(F.col("p_value") <= p)
+    total = e.agg(F.count(F.lit(1)).alias("n_rows"))
+    own = picked.agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("gene1").alias("sources"), F.countDistinct("gene2").alias("targets"))
+    deg = degrees(picked).agg(F.count(F.lit(1)).alias("n_genes"), F.max("total_degree").alias("max_degree"))
+    return own.join(F.broadcast(deg)).join(F.broadcast(total))
+
+
+def top_degrees(e: DataFrame, k: int) -> DataFrame:
+    return degrees(e).orderBy(F.desc("total_degree"), "gene").limit(k)
+
+
+def cutoff_sweep(e: DataFrame, freq: DataFrame, cutoffs: list[float]) -> DataFrame:
+    """(cutoff, mode, seed_genes, nodes, edges): networks of the genes from each frequency on, by connection mode."""
+    marks = e.sparkSession.createDataFrame([(float(c),) for c in sorted(set(cutoffs))], "cutoff double")
+    f = lambda c: freq.select(F.col("gene").alias(c), F.col("frequency").alias("f_" + c))
+    # An edge's ends decide for every cutoff: both from the smaller frequency down, any from the larger.
+    known = e.select("gene1", "gene2").distinct().join(f("gene1"), "gene1", "left").join(f("gene2"), "gene2", "left").fillna(-1.0, ["f_gene1", "f_gene2"])
+    spread = known.join(F.broadcast(marks), F.greatest("f_gene1", "f_gene2") >= F.col("cutoff"))
+    kept = spread.withColumn("mode", F.explode(F.when(F.least("f_gene1", "f_gene2") >= F.col("cutoff"), F.array(F.lit("both"), F.lit("any"))).otherwise(F.array(F.lit("any")))))
+    m = kept.groupBy("cutoff", "mode").agg(F.count(F.lit(1)).alias("edges"))
+    n = kept.select("cutoff", "mode", F.explode(F.array("gene1", "gene2")).alias("gene")).distinct().groupBy("cutoff", "mode").agg(F.count(F.lit(1)).alias("nodes"))
+    seeds = freq.join(F.broadcast(marks), F.col("frequency") >= F.col("cutoff")).groupBy("cutoff").agg(F.count(F.lit(1)).alias("seed_genes"))
+    every = marks.withColumn("mode", F.explode(F.array(F.lit("both"), F.lit("any"))))
+    return every.join(seeds, "cutoff", "left").join(n, ["cutoff", "mode"], "left").join(m, ["cutoff", "mode"], "left").fillna(0, ["seed_genes", "nodes", "edges"])
+
+
+def growth(expanded: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Sizes of an expanded and a seed list, genes of both, new genes, and their shares in %."""
+    n = _overlap(expanded, seeds)
+    share = lambda a, b: F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b)).otherwise(0.0)
+    return n.select(
+        F.col("n_b").alias("n_seeds"), F.col("n_a").alias("n_expanded"), F.col("both").alias("n_overlap"), (F.col("n_a") - F.col("both")).alias("n_new"),
+        share("both", "n_a").alias("overlap_percent"), (F.when(F.col("n_a") > 0, 100.0 * (F.col("n_a") - F.col("both")) / F.col("n_a")).otherwise(0.0)).alias("new_percent"), share("both", "n_b").alias("retention_percent"),
+    )
+
+
+def list_overlap(a: DataFrame, b: DataFrame, warn: float = 95.0) -> DataFrame:
+    """Sizes, overlap, its share of either list in %, and whether both shares reach ``warn``."""
+    n = _overlap(a, b)
+    share = lambda c: F.when(F.col(c) > 0, 100.0 * F.col("both") / F.col(c)).otherwise(0.0)
+    out = n.select(F.col("n_a").alias("n_left"), F.col("n_b").alias("n_right"), F.col("both").alias("n_overlap"), share("n_a").alias("left_percent"), share("n_b").alias("right_percent"))
+    return out.withColumn("alike", (F.col("left_percent") >= warn) & (F.col("right_percent") >= warn))
+
+
+def _overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    side = list_difference(a, b).groupBy().agg(F.count_if(F.col("side") == "both").alias("both"), F.count_if(F.col("side") == "only_a").alias("a"), F.count_if(F.col("side") == "only_b").alias("b"))
+    return side.select("both", (F.col("both") + F.col("a")).alias("n_a"), (F.col("both") + F.col("b")).alias("n_b"))
+
+
+def pair_count_audit(tests: DataFrame, n_genes: int) -> int:
+    """The number of rows of an all-pairs table; raises if it isn't n(n - 1)."""
+    found, expected = tests.count(), n_genes * max(0, n_genes - 1)
+    if found != expected:
+        raise ValueError(f"expected {expected} pairs of {n_genes} genes, found {found}")
+    return found

@@ -8,15 +8,21 @@ block whatever the number of series, and nothing is broadcast.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions.stats import f_tail_numpy
 
 BLOCK = 512
 SINGULAR = 1e-12
+#: Why a pair has no test, by code; 0 is a test that went well.
+ERRORS = [None, "constant data", "singular fit", "unequal length", "missing value", "too few points"]
+CONSTANT, SINGULAR_FIT, UNEQUAL, MISSING, SHORT = range(1, 6)
 
 
 def pair_tests(cause: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -41,58 +47,148 @@ def pair_tests(cause: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(ok, f, np.nan), np.where(ok, p, np.nan), df
 
 
-def blocks_of(series: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(blk, gene, series) with about ``block`` series per block."""
-    n = max(1, -(-series.count() // block))
+def n_blocks(n: int, block: int, cores: int) -> int:
+    """Blocks of at most ``block`` series, but enough for the cores as long as they hold 64 or so."""
+    return max(1, -(-n // block), min(-(-n // 64), int((2 * cores) ** 0.5 + 1)))
+
+
+def blocks_of(series: DataFrame, n: int) -> DataFrame:
+    """(blk, gene, series): genes dealt by hash into ``n`` blocks."""
     return series.select(F.pmod(F.xxhash64("gene"), F.lit(n)).cast("int").alias("blk"), "gene", "series")
 
 
-def granger(causes: DataFrame, targets: DataFrame | None = None, max_p: float = 1.0, audit: bool = False, block: int = BLOCK) -> DataFrame:
+def _series(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values in a row, with NaN for nulls; where each series begins; its length."""
+    lists = column.combine_chunks()
+    length = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False)
+    return values, np.cumsum(length) - length, length
+
+
+def _block_tests(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """F, p and error code of every pair of a series of ``x`` with one of ``y``."""
+    (vx, bx, nx), (vy, by, ny) = _series(x["series"]), _series(y["series"])
+    f, p = (np.full((len(nx), len(ny)), np.nan) for _ in range(2))
+    code = np.full(f.shape, UNEQUAL, np.int8)
+    for n in np.intersect1d(nx, ny).tolist():
+        i, j = np.flatnonzero(nx == n), np.flatnonzero(ny == n)
+        part = np.ix_(i, j)
+        if n < 5:
+            code[part] = SHORT
+            continue
+        m1, m2 = vx[bx[i][:, None] + np.arange(n)], vy[by[j][:, None] + np.arange(n)]
+        f[part], p[part], _ = pair_tests(m1, m2)
+        own = np.where(np.isnan(p[part]), SINGULAR_FIT, 0)
+        own[(m1.max(1) == m1.min(1))[:, None] | (m2.max(1) == m2.min(1))] = CONSTANT
+        own[~np.isfinite(m1).all(1)[:, None] | ~np.isfinite(m2).all(1)] = MISSING
+        code[part] = own
+    f[code > 0] = p[code > 0] = np.nan
+    return f, p, code
+
+
+def granger(causes: DataFrame, targets: DataFrame | None = None, max_p: float = 1.0, audit: bool = False, block: int = BLOCK, done: DataFrame | None = None, same_genes: bool = True) -> DataFrame:
     """(gene1, gene2, f_stat, p_value, error): gene1 -> gene2 for every ordered pair of two genes.
 
-    Rows with p <= ``max_p`` are kept; with ``audit`` failed pairs too, as null p and an error.
-    Constant series fail, and so do singular fits. Inputs: (gene, series).
+    Inputs: (gene, series). Rows with p <= ``max_p`` are kept; with ``audit`` failed pairs too,
+    as null p and one of ``ERRORS``: constant series, singular fits, series of unequal length,
+    with a missing value, or of fewer than five points. ``done`` (gene1, gene2) holds the pairs
+    of earlier runs: they are left out, and two blocks whose pairs are all done never meet.
+    With ``same_genes`` off, equal names on both sides are different series.
     """
-    left = blocks_of(causes, block)
-    right = left if targets is None else blocks_of(targets, block)
-    nl, nr = (max(1, -(-x.count() // block)) for x in (causes, causes if targets is None else targets))
+    spark = causes.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    nl = n_blocks(causes.count(), block, cores)
+    left = blocks_of(causes, nl)
+    nr, right = (nl, left) if targets is None else ((n := n_blocks(targets.count(), block, cores)), blocks_of(targets, n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumnRenamed("blk", "bi").withColumn("bj", each(nr))
+    b = right.withColumnRenamed("blk", "bj").withColumn("bi", each(nl))
+    if done is not None:
+        done = done.select("gene1", "gene2").distinct()
+        full = _finished(left, right, done, nl, nr, same_genes)
+        a, b = (side.join(full, ["bi", "bj"], "left_anti") for side in (a, b))
     # New names on both sides: a cogroup of one table with itself mixes up equal ones.
-    a = left.select(F.col("blk").alias("bi"), F.col("gene").alias("ga"), F.col("series").alias("sa")).withColumn("bj", each(nr))
-    b = right.select(F.col("blk").alias("cj"), F.col("gene").alias("gb"), F.col("series").alias("sb")).withColumn("ci", each(nl))
+    b = b.select(F.col("bi").alias("ci"), F.col("bj").alias("cj"), F.col("gene").alias("other"), F.col("series").alias("series2"))
     kind = causes.schema["gene"].dataType.simpleString()
 
-    def test(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        names = ["gene1", "gene2", "f_stat", "p_value", "error"]
-        if not len(x) or not len(y):
-            return pd.DataFrame({n: [] for n in names})
-        g1, g2 = x["ga"].to_numpy(), y["gb"].to_numpy()
-        m1, m2 = np.stack(x["sa"].to_numpy()), np.stack(y["sb"].to_numpy())
-        f, p, _ = pair_tests(m1, m2)
-        flat1, flat2 = m1.max(1) == m1.min(1), m2.max(1) == m2.min(1)
-        constant = flat1[:, None] | flat2
-        p[constant] = np.nan
+    def test(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.rename_columns(["ci", "cj", "gene", "series"])
+        f, p, code = _block_tests(x, y)
         keep = p <= max_p
         if audit:
-            keep |= np.isnan(p)
-        keep &= g1[:, None] != g2
+            keep |= code > 0
+        if same_genes:
+            keep &= x["gene"].to_numpy()[:, None] != y["gene"].to_numpy()
         i, j = np.nonzero(keep)
-        failed = np.isnan(p[i, j])
-        error = np.where(failed, np.where(constant[i, j], "constant data", "singular fit"), None)
-        return pd.DataFrame({"gene1": g1[i], "gene2": g2[j], "f_stat": np.where(failed, None, f[i, j]), "p_value": np.where(failed, None, p[i, j]), "error": error})
-
-    out = a.groupBy("bi", "bj").cogroup(b.groupBy("ci", "cj")).applyInPandas(test, f"gene1 {kind}, gene2 {kind}, f_stat double, p_value double, error string")
-    return out
-
-
-def probe_pairs(genes: DataFrame, probes: DataFrame) -> DataFrame:
-    """JP2: (gene1, gene2) with a probe on at least one side; 2gN - g^2 - g pairs."""
-    tagged = genes.join(probes.select("gene").distinct().withColumn("probe", F.lit(True)), "gene", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-    p = tagged.where("probe").select(F.col("gene").alias("p"))
-    other = tagged.select(F.col("gene").alias("g"), "probe")
+        columns = [x["gene"].take(pa.array(i)), y["gene"].take(pa.array(j)), pa.array(f[i, j], from_pandas=True), pa.array(p[i, j], from_pandas=True)]
+        names = ["gene1", "gene2", "f_stat", "p_value"]
+        if audit:
+            columns.append(pa.DictionaryArray.from_arrays(pa.array(code[i, j]), pa.array(ERRORS, pa.string())).cast(pa.string()))
+            names.append("error")
+        return pa.Table.from_arrays(columns, names=names)
+
+    out = a.select("bi", "bj", "gene", "series").groupBy("bi", "bj").cogroup(b.groupBy("ci", "cj")).applyInArrow(test, f"gene1 {kind}, gene2 {kind}, f_stat double, p_value double" + ", error string" * audit)
+    if not audit:
+        out = out.withColumn("error", F.lit(None).cast("string"))
+    return out if done is None else out.join(done, ["gene1", "gene2"], "left_anti")
+
+
+def _finished(left: DataFrame, right: DataFrame, done: DataFrame, nl: int, nr: int, same_genes: bool) -> DataFrame:
+    """(bi, bj): pairs of blocks all of whose pairs of genes are in ``done``."""
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    known = done.join(left.select(F.col("gene").alias("gene1")), "gene1", "left_semi").join(right.select(F.col("gene").alias("gene2")), "gene2", "left_semi")
+    have = known.where("gene1 <> gene2") if same_genes else known
+    have = have.groupBy(of("gene1", nl).alias("bi"), of("gene2", nr).alias("bj")).agg(F.count(F.lit(1)).alias("have"))
+    size = lambda side, name, n: side.groupBy(F.col("blk").alias(name)).agg(F.count(F.lit(1)).alias(n))
+    need = have.join(size(left, "bi", "nx"), "bi").join(size(right, "bj", "ny"), "bj")
+    if same_genes:
+        own = left.select("gene", F.col("blk").alias("bi")).join(right.select("gene", F.col("blk").alias("bj")), "gene").groupBy("bi", "bj").agg(F.count(F.lit(1)).alias("own"))
+        need = need.join(own, ["bi", "bj"], "left")
+    else:
+        need = need.withColumn("own", F.lit(0))
+    return need.where(F.col("have") >= F.col("nx") * F.col("ny") - F.coalesce("own", F.lit(0))).select("bi", "bj")
+
+
+def resumable(spark: SparkSession, series: DataFrame, path: str, max_p: float = 1.0, waves: int = 16) -> tuple[DataFrame, int]:
+    """All-pairs tests in ``waves`` by their cause, each a folder of ``path``; the table, and how many waves ran now.
+
+    A wave whose folder is complete is not run again. Another set of genes, threshold or
+    number of waves starts afresh, as the folder's manifest tells.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda name: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+    genes = series.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("gene", "series"))).first()
+    stamp = json.dumps([*genes, max_p, waves])
+    if there("manifest"):
+        if spark.read.text(f"{path}/manifest").first()[0] != stamp:
+            fs.delete(root, True)
+    if not there("manifest/_SUCCESS"):
+        spark.createDataFrame([(stamp,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    ran = 0
+    for k in range(waves):
+        if not there(f"wave={k}/_SUCCESS"):
+            causes = series.where(F.pmod(F.xxhash64(F.lit(3), "gene"), F.lit(waves)) == k)
+            granger(causes, series, max_p).write.mode("overwrite").parquet(f"{path}/wave={k}")
+            ran += 1
+    return spark.read.parquet(*[f"{path}/wave={k}" for k in range(waves)]), ran
+
+
+def probe_pairs(genes: DataFrame, probes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(gene1, gene2) with a probe on at least one side; 2gN - g^2 - g pairs.
+
+    Blocks of probes meet blocks of genes by an equi-join, as in the tests.
+    """
+    tagged = genes.select("gene").distinct().join(probes.select("gene").distinct().withColumn("probe", F.lit(True)), "gene", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    n = n_blocks(tagged.count(), block, genes.sparkSession.sparkContext.defaultParallelism)
+    blk, each = F.pmod(F.xxhash64("gene"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = tagged.where("probe").select(F.col("gene").alias("p"), blk.alias("i")).withColumn("j", each)
+    other = tagged.select(F.col("gene").alias("g"), "probe", blk.alias("j")).withColumn("i", each)
     # From a probe to every gene; and from every gene that is no probe to a probe.
-    pairs = p.join(other, p.p != other.g)
-    return pairs.select(F.col("p").alias("gene1"), F.col("g").alias("gene2")).unionAll(pairs.where(~F.col("probe")).select(F.col("g").alias("gene1"), F.col("p").alias("gene2")))
+    both = F.array(F.struct(F.col("p").alias("gene1"), F.col("g").alias("gene2")), F.struct(F.col("g").alias("gene1"), F.col("p").alias("gene2")))
+    pairs = p.join(other, ["i", "j"]).where("p <> g").select(F.explode(F.when(F.col("probe"), F.slice(both, 1, 1)).otherwise(both)).alias("x"))
+    return pairs.select("x.*")
 
 
 def probe_granger(series: DataFrame, probes: DataFrame, max_p: float = 1.0) -> DataFrame:
@@ -102,6 +198,55 @@ def probe_granger(series: DataFrame, probes: DataFrame, max_p: float = 1.0) -> D
     return granger(inside, series, max_p).unionByName(granger(outside, inside, max_p))
 
 
-def resume(blocks: DataFrame, done: DataFrame) -> DataFrame:
-    """JP4: the pairs that a completed table does not have."""
-    return blocks.join(done.select("gene1", "gene2"), ["gene1", "gene2"], "left_anti")
+def noise_tests(series: DataFrame, noise: DataFrame) -> DataFrame:
+    """The tests gene -> noise row of every gene with every row of the noise matrices, equal names or not."""
+    return granger(series, noise, same_genes=False)
+
+
+def noise_summary(tests: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(gene, median_p, below_<k>): per gene the median p and the tests strictly below each threshold; null p skipped."""
+    below = [F.count_if(F.col("p_value") < t).alias(f"below_{k}") for k, t in enumerate(thresholds)]
+    return tests.groupBy(F.col("gene1").alias("gene")).agg(F.median("p_value").alias("median_p"), *below)
+
+
+def pair_index(pairs: DataFrame, genes: DataFrame) -> DataFrame:
+    """``pairs`` with ``k`` from 0: the place of (i, j) among the ordered pairs of two of the genes (gene, pos)."""
+    n = genes.count()
+    side = lambda g, p: genes.select(F.col("gene").alias(g), F.col("pos").cast("long").alias(p))
+    placed = pairs.join(side("gene1", "i"), "gene1").join(side("gene2", "j"), "gene2")
+    k = F.col("i") * (n - 1) + F.when(F.col("j") < F.col("i"), F.col("j")).otherwise(F.col("j") - 1)
+    return placed.withColumn("k", k).select(*pairs.columns, "k")
+
+
+def fixture_pairs(genes: DataFrame, targets: DataFrame | None = None, first: int = 150) -> DataFrame:
+    """(gene1, gene2, lag, p_value): a fixed answer for trial runs, p 0.001 for every pair.
+
+    All ordered pairs of ``genes``; with ``targets`` (gene, pos) instead the pairs in both
+    directions with the ``first`` of those, which is the feature here.
+    """
+    if targets is None:
+        pairs = probe_pairs(genes, genes)
+    else:
+        near = targets.orderBy("pos").limit(first).select("gene")
+        out = probe_pairs(genes.select("gene").union(near), genes)
+        into = out.join(near.withColumnRenamed("gene", "gene2"), "gene2", "left_semi").join(genes.select(F.col("gene").alias("gene1")), "gene1", "left_semi")
+        back = into.select(F.col("gene2").alias("gene1"), F.col("gene1").alias("gene2"))
+        pairs = into.select("gene1", "gene2").union(back).distinct()
+    return pairs.select("gene1", "gene2", F.lit(1).alias("lag"), F.lit(0.001).alias("p_value"))
+
+
+def present(genes: DataFrame, matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The listed genes that a matrix has, and those that it lacks."""
+    known = matrix.select("gene").distinct()
+    return genes.join(known, "gene", "left_semi"), genes.join(known, "gene", "left_anti")
+
+
+def restrict(matrix: DataFrame, *lists: DataFrame) -> DataFrame:
+    """The rows of the listed genes; raises if none of them is there."""
+    wanted = lists[0].select("gene")
+    for more in lists[1:]:
+        wanted = wanted.union(more.select("gene"))
+    kept = matrix.join(wanted.distinct(), "gene", "left_semi")
+    if kept.isEmpty():
+        raise ValueError("none of the listed genes is in the matrix")
+    return kept

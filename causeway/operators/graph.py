@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,12 +91,26 @@ def spanning_forest(e: DataFrame) -> DataFrame:
         labels = components(forest.select(F.col("u").alias("gene1"), F.col("v").alias("gene2")))
 
 
+def forest_summary(forest: DataFrame, genes: DataFrame) -> DataFrame:
+    """(component, n_genes, n_edges, total_p, total_score) of a spanning forest; genes without edges are components of their own."""
+    linked = components(forest.select(F.col("u").alias("gene1"), F.col("v").alias("gene2")))
+    every = genes.select("gene").distinct().join(linked, "gene", "left").select("gene", F.coalesce("component", "gene").alias("component"))
+    size = every.groupBy("component").agg(F.count(F.lit(1)).alias("n_genes"))
+    cost = forest.join(linked.withColumnRenamed("gene", "u"), "u").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("w").alias("total_p"), F.sum(-F.log10(F.greatest("w", F.lit(1e-300)))).alias("total_score"))
+    return size.join(cost, "component", "left").fillna(0, ["n_edges"]).fillna(0.0, ["total_p", "total_score"])
+
+
 def summary(e: DataFrame, gene) -> DataFrame:
-    """Nodes, edges, density, weak components, average degree, degrees of a gene of interest."""
-    comp = components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    parts = comp.agg(F.sum("n").alias("n_nodes"), F.count(F.lit(1)).alias("n_components"), F.max("n").alias("largest"))
+    """Nodes, edges, density, weak and strong components and the largest of each, average degree, degrees of a gene of interest."""
+    def sizes(found: DataFrame, n: str, largest: str) -> DataFrame:
+        comp = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        return comp.agg(F.sum("size").alias("n_nodes"), F.count(F.lit(1)).alias(n), F.max("size").alias(largest))
+
+    weak = sizes(components(e), "n_components", "largest")
+    strong = sizes(strong_components(e), "n_strong", "largest_strong").drop("n_nodes")
     own = e.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("gene1") == gene).alias("out_degree"), F.count_if(F.col("gene2") == gene).alias("in_degree"))
-    return parts.join(F.broadcast(own)).withColumns({"density": F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), "avg_degree": 2 * F.col("n_edges") / F.col("n_nodes")})
+    both = weak.join(F.broadcast(strong)).join(F.broadcast(own))
+    return both.withColumns({"density": F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), "avg_degree": 2 * F.col("n_edges") / F.col("n_nodes")})
 
 
 def _lowest_forward(links: DataFrame, genes: DataFrame) -> DataFrame:
@@ -110,17 +125,70 @@ def _lowest_forward(links: DataFrame, genes: DataFrame) -> DataFrame:
             return labels
 
 
-def strong_components(e: DataFrame) -> DataFrame:
+#: Edges up to which one task finishes the strong components.
+ONE_TASK_EDGES = 500_000
+
+
+def _in_one_task(links: DataFrame, genes: DataFrame) -> DataFrame:
+    """(gene, component) of a graph of a checked size, by two depth-first walks."""
+    kind = genes.schema["gene"].dataType.simpleString()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["u"])
+        ahead: dict = {}
+        back: dict = {}
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            ahead.setdefault(u, []).append(v)
+            back.setdefault(v, []).append(u)
+        order, seen = [], set()
+        for start in sorted(set(ahead) | set(back)):
+            if start in seen:
+                continue
+            seen.add(start)
+            stack = [(start, iter(ahead.get(start, ())))]
+            while stack:
+                node, rest = stack[-1]
+                nxt = next((x for x in rest if x not in seen), None)
+                if nxt is None:
+                    order.append(node)
+                    stack.pop()
+                else:
+                    seen.add(nxt)
+                    stack.append((nxt, iter(ahead.get(nxt, ()))))
+        label: dict = {}
+        for start in reversed(order):
+            if start in label:
+                continue
+            members, todo = [start], [start]
+            label[start] = start
+            for x in todo:
+                for y in back.get(x, ()):
+                    if y not in label:
+                        label[y] = start
+                        members.append(y)
+                        todo.append(y)
+            least = min(members)
+            label |= dict.fromkeys(members, least)
+        return pd.DataFrame({"gene": list(label), "component": list(label.values())})
+
+    found = links.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: walk(pdf), f"gene {kind}, component {kind}")
+    return genes.join(found, "gene", "left").select("gene", F.coalesce("component", "gene").alias("component"))
+
+
+def strong_components(e: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(gene, component): strong components, named by their smallest gene.
 
-    Colouring: a gene takes the smallest gene that reaches it; what reaches the colour's own
-    gene inside the colour is that gene's component. It leaves, and the rest is coloured again.
     Genes without edges into or out of the rest are components of their own and leave first.
+    What is left is finished by one task if it has at most ``one_task_edges`` edges. Beyond,
+    by colouring: a gene takes the smallest gene that reaches it; what reaches the colour's
+    own gene inside the colour is that gene's component. It leaves, and the rest goes on.
     """
     links = _cut(e.select(F.col("gene1").alias("u"), F.col("gene2").alias("v")).where("u <> v").distinct(), "links")
     genes = _cut(e.select(F.col("gene1").alias("gene")).union(e.select("gene2")).distinct(), "genes")
     done = genes.select("gene", F.col("gene").alias("component")).limit(0)
     while not genes.isEmpty():
+        if links.count() <= one_task_edges:
+            return done.unionByName(_in_one_task(links, genes))
         core = genes.join(links.select(F.col("u").alias("gene")), "gene", "left_semi").join(links.select(F.col("v").alias("gene")), "gene", "left_semi")
         core = _cut(core, "core")
         found = genes.join(core, "gene", "left_anti").select("gene", F.col("gene").alias("component"))

@@ -28,9 +28,9 @@ dots AS (SELECT c.gene AS gene1, x.gene AS gene2, sum(c.l * x.y) AS xy, sum(c.l
 fits AS (SELECT gene1, gene2, xy - xl * b.yl / b.ll AS num, a.ll - xl * xl / b.ll AS den, b.yy - b.yl * b.yl / b.ll AS rss_r
          FROM dots JOIN mom a ON a.gene = gene1 JOIN mom b ON b.gene = gene2),
 stat AS (SELECT gene1, gene2, {_F} AS f FROM fits),
-gc AS (SELECT gene1, gene2, f, {f_tail_sql("f", POINTS - 4)} AS p_value FROM stat)"""
-NET_SQL = f"{GC_SQL}, e AS (SELECT gene1, gene2, p_value FROM gc WHERE p_value <= {P_NET})"
-EDGE_SQL = f"{GC_SQL}, e AS (SELECT gene1, gene2, p_value FROM gc WHERE p_value <= {P_EDGE})"
+gc AS MATERIALIZED (SELECT gene1, gene2, f, {f_tail_sql("f", POINTS - 4)} AS p_value FROM stat)"""
+NET_SQL = f"{GC_SQL}, e AS MATERIALIZED (SELECT gene1, gene2, p_value FROM gc WHERE p_value <= {P_NET})"
+EDGE_SQL = f"{GC_SQL}, e AS MATERIALIZED (SELECT gene1, gene2, p_value FROM gc WHERE p_value <= {P_EDGE})"
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -101,23 +101,57 @@ def pair_counts(spark, sf_dir):
     return n.select((F.col("n") * (F.col("n") - 1)).alias("all_pairs"), (2 * F.col("g") * F.col("n") - F.col("g") * F.col("g") - F.col("g")).alias("probe_pairs"))
 
 
-@query(f"WITH {GC_SQL}, done AS (SELECT gene1, gene2 FROM gc WHERE p_value <= 0.01) SELECT gene1, gene2 FROM gc ANTI JOIN done USING (gene1, gene2) WHERE p_value <= {P_EDGE}")
+@query(f"WITH {GC_SQL}, p AS (SELECT vec_id FROM embeddings WHERE label = 0) SELECT gene1, gene2, round(p_value, 8) AS p_value FROM gc WHERE p_value <= {P_EDGE} AND NOT (gene1 IN (FROM p) AND gene2 IN (FROM p))")
 def gc_resume(spark, sf_dir):
-    e = graph._cut(gc_edges(spark, sf_dir), "gc")
-    return granger.resume(e, e.where("p_value <= 0.01")).select("gene1", "gene2")
+    """What is left of the all-pairs tests after a run over the probes alone."""
+    probes = _probes(spark, sf_dir)
+    done = granger.probe_pairs(probes, probes)
+    e = granger.granger(embedding_series(spark, sf_dir), max_p=P_EDGE, done=done)
+    return rounded(e.select("gene1", "gene2", "p_value"), "p_value")
+
+
+@query()
+def gc_failed_audit(spark, sf_dir):
+    """All pairs of users by their values on four days; constant and short series fail."""
+    return granger.granger(_failing_series(spark, sf_dir), audit=True).where("error is not null").select("gene1", "gene2", "error")
+
+
+ORACLE_SQL["gc_failed_audit"] = """WITH v AS (SELECT user_id AS gene, count(DISTINCT day(ts)) AS n FROM events GROUP BY user_id),
+kind AS (SELECT gene, CASE WHEN gene % 5 = 0 THEN 4 WHEN gene % 5 = 1 THEN 30 ELSE n END AS n, gene % 5 = 1 AS flat FROM v)
+SELECT a.gene AS gene1, b.gene AS gene2,
+       CASE WHEN a.n <> b.n THEN 'unequal length' WHEN a.n < 5 THEN 'too few points' ELSE 'constant data' END AS error
+FROM kind a JOIN kind b ON a.gene <> b.gene WHERE a.n <> b.n OR a.n < 5 OR a.flat OR b.flat"""
+
 
+def _failing_series(spark, sf_dir) -> DataFrame:
+    """Users' values on the days that they have: every fifth user cut to four days, the next ones constant on all 30."""
+    m = event_replicates(spark, sf_dir).groupBy("gene", "t").agg(F.sum("value").alias("value"))
+    s = preprocess.to_series(m)
+    kind = F.col("gene") % 5
+    flat = F.array_repeat(F.lit(1.0), 30)
+    short = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: i.cast("double"))
+    return s.select("gene", F.when(kind == 0, short).when(kind == 1, flat).otherwise(F.col("series")).alias("series"))
 
-@query(f"WITH {GC_SQL}, med AS (SELECT gene1 AS gene, median(p_value) AS m FROM gc GROUP BY gene1) SELECT gene, round(m, 8) AS median_p FROM med")
+
+#: Genes of label 0 against the rows of label 1 as noise.
+NOISE_SQL = f"{GC_SQL}, nz AS (SELECT g.* FROM gc g JOIN embeddings a ON a.vec_id = gene1 AND a.label = 0 JOIN embeddings b ON b.vec_id = gene2 AND b.label = 1), per AS (SELECT gene1 AS gene, median(p_value) AS m, count(*) FILTER (p_value < 0.01) AS below_0, count(*) FILTER (p_value < 0.05) AS below_1 FROM nz GROUP BY gene1)"
+
+
+def _noise(spark, sf_dir) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("gene"), F.col("embedding").cast("array<double>").alias("series"), "label")
+    part = lambda k: s.where(F.col("label") == k).drop("label")
+    return granger.noise_summary(granger.noise_tests(part(0), part(1)), [0.01, 0.05])
+
+
+@query(f"WITH {NOISE_SQL} SELECT gene, round(m, 8) AS median_p, below_0, below_1 FROM per")
 def noise_median_p(spark, sf_dir):
-    e = granger.granger(embedding_series(spark, sf_dir))
-    return e.groupBy(F.col("gene1").alias("gene")).agg(F.round(F.median("p_value"), 8).alias("median_p"))
+    return rounded(_noise(spark, sf_dir), "median_p")
 
 
-@query(f"WITH {GC_SQL}, per AS (SELECT gene1, median(p_value) AS m FROM gc GROUP BY gene1) SELECT round(median(m), 8) AS med, round(stddev_pop(m), 8) AS sd, (SELECT count(*) FROM gc WHERE p_value < 0.01) AS below FROM per")
+@query(f"WITH {NOISE_SQL} SELECT round(median(m), 8) AS med, round(stddev_pop(m), 8) AS sd, sum(below_0)::BIGINT AS below_0, sum(below_1)::BIGINT AS below_1 FROM per")
 def noise_baseline(spark, sf_dir):
-    e = graph._cut(granger.granger(embedding_series(spark, sf_dir)), "noise")
-    per = e.groupBy("gene1").agg(F.median("p_value").alias("m")).agg(F.round(F.median("m"), 8).alias("med"), F.round(F.stddev_pop("m"), 8).alias("sd"))
-    return per.join(F.broadcast(e.agg(F.count_if(F.col("p_value") < 0.01).alias("below"))))
+    per = _noise(spark, sf_dir)
+    return rounded(per.agg(F.median("median_p").alias("med"), F.stddev_pop("median_p").alias("sd"), F.sum("below_0").alias("below_0"), F.sum("below_1").alias("below_1")), "med", "sd")
 
 
 # --- Preparation ---------------------------------------------------------------------------
@@ -207,11 +241,9 @@ def degrees(spark, sf_dir):
     return edges.degrees(gc_edges(spark, sf_dir), embedding_series(spark, sf_dir))
 
 
-@query(f"WITH {EDGE_SQL} SELECT count(*) AS n_edges, count(DISTINCT gene1) AS sources, count(DISTINCT gene2) AS targets, (SELECT count(*) FROM (SELECT gene1 FROM e UNION SELECT gene2 FROM e)) AS n_genes FROM e")
+@query(f"WITH {EDGE_SQL}, k AS (SELECT * FROM e WHERE p_value <= 0.02), x AS (SELECT gene1 AS gene FROM k UNION ALL SELECT gene2 FROM k), d AS (SELECT gene, count(*) AS d FROM x GROUP BY gene) SELECT (SELECT count(*) FROM e) AS n_rows, count(*) AS n_edges, count(DISTINCT gene1) AS sources, count(DISTINCT gene2) AS targets, (SELECT count(*) FROM d) AS n_genes, (SELECT max(d) FROM d) AS max_degree FROM k")
 def degree_summary(spark, sf_dir):
-    e = graph._cut(gc_edges(spark, sf_dir), "edges")
-    own = e.agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("gene1").alias("sources"), F.countDistinct("gene2").alias("targets"))
-    return own.join(F.broadcast(edges.nodes(e).agg(F.count(F.lit(1)).alias("n_genes"))))
+    return edges.degree_summary(graph._cut(gc_edges(spark, sf_dir), "edges"), 0.02)
 
 
 @query(f"WITH {EDGE_SQL} SELECT gene1, gene2 FROM e WHERE p_value < 0.001")
@@ -309,29 +341,47 @@ def edges_expand_fixpoint(spark, sf_dir):
     return graph.expand(network(spark, sf_dir), spark.createDataFrame([(GOI,)], "gene long"), P_NET).select("gene1", "gene2")
 
 
-@query()
+_WEIGHED = "s AS (SELECT u, v, min(w) AS w FROM (SELECT gene1 AS u, gene2 AS v, p_value AS w FROM e UNION ALL SELECT gene2, gene1, p_value FROM e) GROUP BY u, v)"
+
+
+def _dist_sql(step: str) -> str:
+    return f"WITH RECURSIVE {NET_SQL}, {_WEIGHED}, d(gene, dist) USING KEY (gene) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION SELECT s.v, min({step}) FROM d JOIN s ON s.u = d.gene LEFT JOIN recurring.d AS r ON r.gene = s.v WHERE r.dist IS NULL OR {step} < r.dist GROUP BY s.v) SELECT gene, round(dist, 8) AS dist FROM d"
+
+
+@query(_dist_sql("d.dist + s.w"))
 def minsum_dist(spark, sf_dir):
     return rounded(graph.distances(network(spark, sf_dir), GOI), "dist")
 
 
-@query()
+@query(_dist_sql("greatest(d.dist, s.w)"))
 def minmax_dist(spark, sf_dir):
     return rounded(graph.distances(network(spark, sf_dir), GOI, bottleneck=True), "dist")
 
 
-@query()
+#: The forest is unique: an edge belongs to it unless edges before it in the order join its ends.
+_FOREST_SQL = f"{_WEIGHED}, k AS (SELECT u, v, w, row_number() OVER (ORDER BY w, u, v) AS r FROM s WHERE u < v), b AS (SELECT u, v, r FROM k UNION ALL SELECT v, u, r FROM k), h(r, gene) AS (SELECT r, u FROM k UNION SELECT h.r, b.v FROM h JOIN b ON b.u = h.gene AND b.r < h.r), f AS (SELECT u, v, w FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.r = k.r AND h.gene = k.v))"
+
+
+@query(f"WITH RECURSIVE {NET_SQL}, {_FOREST_SQL} SELECT u, v, round(w, 8) AS w FROM f")
 def spanning_forest(spark, sf_dir):
     return rounded(graph.spanning_forest(network(spark, sf_dir)), "w")
 
 
-@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, {_REACH}, c AS (SELECT gene, min(other) AS c FROM reach GROUP BY gene), z AS (SELECT c, count(*) AS n FROM c GROUP BY c), k AS (SELECT sum(n)::BIGINT AS n_nodes, count(*) AS n_components, max(n) AS largest FROM z), cnt AS (SELECT count(*) AS n_edges, count(*) FILTER (gene1 = 0) AS out_degree, count(*) FILTER (gene2 = 0) AS in_degree FROM e) SELECT *, round(n_edges / (n_nodes * (n_nodes - 1)), 8) AS density, round(2 * n_edges / n_nodes, 8) AS avg_degree FROM k, cnt")
-def network_summary(spark, sf_dir):
-    return rounded(graph.summary(network(spark, sf_dir), GOI), "density", "avg_degree")
+@query(f"WITH RECURSIVE {NET_SQL}, {_FOREST_SQL}, g AS (SELECT u AS gene FROM f UNION SELECT v FROM f), t AS (SELECT u, v FROM f UNION SELECT v, u FROM f), reach(gene, other) AS (SELECT gene, gene FROM g UNION SELECT reach.gene, t.v FROM reach JOIN t ON t.u = reach.other), c AS (SELECT gene, min(other) AS component FROM reach GROUP BY gene), n AS (SELECT component, count(*) AS n_genes FROM c GROUP BY component) SELECT component, n_genes, count(*) AS n_edges, round(sum(w), 8) AS total_p, round(sum(-log10(greatest(w, 1e-300))), 6) AS total_score FROM f JOIN c ON c.gene = u JOIN n USING (component) GROUP BY component, n_genes UNION ALL SELECT vec_id, 1, 0, 0.0, 0.0 FROM embeddings WHERE vec_id NOT IN (FROM g)")
+def forest_summary(spark, sf_dir):
+    e = network(spark, sf_dir)
+    s = graph.forest_summary(graph.spanning_forest(e), embedding_series(spark, sf_dir))
+    return s.select("component", "n_genes", "n_edges", F.round("total_p", 8).alias("total_p"), F.round("total_score", 6).alias("total_score"))
 
 
 _WAY = "way(gene, other) AS (SELECT gene, gene FROM g UNION SELECT way.gene, e.gene2 FROM way JOIN e ON e.gene1 = way.other)"
 
 
+@query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, {_REACH}, {_WAY}, c AS (SELECT gene, min(other) AS c FROM reach GROUP BY gene), z AS (SELECT c, count(*) AS n FROM c GROUP BY c), st AS (SELECT a.gene, min(a.other) AS c FROM way a JOIN way b ON a.gene = b.other AND a.other = b.gene GROUP BY a.gene), sz AS (SELECT c, count(*) AS n FROM st GROUP BY c), k AS (SELECT sum(n)::BIGINT AS n_nodes, count(*) AS n_components, max(n) AS largest FROM z), ks AS (SELECT count(*) AS n_strong, max(n) AS largest_strong FROM sz), cnt AS (SELECT count(*) AS n_edges, count(*) FILTER (gene1 = 0) AS out_degree, count(*) FILTER (gene2 = 0) AS in_degree FROM e) SELECT *, round(n_edges / (n_nodes * (n_nodes - 1)), 8) AS density, round(2 * n_edges / n_nodes, 8) AS avg_degree FROM k, ks, cnt")
+def network_summary(spark, sf_dir):
+    return rounded(graph.summary(network(spark, sf_dir), GOI), "density", "avg_degree")
+
+
 @query(f"WITH RECURSIVE {NET_SQL}, {_SYM}, {_WAY} SELECT a.gene, min(a.other) AS component FROM way a JOIN way b ON a.gene = b.other AND a.other = b.gene GROUP BY a.gene")
 def scc(spark, sf_dir):
     return graph.strong_components(network(spark, sf_dir))
@@ -380,9 +430,9 @@ def partition_metrics(spark, sf_dir):
     return rounded(community.partition_metrics(_partitions(spark, sf_dir), GOI), "avg_k", "avg_home")
 
 
-@query(f"WITH {FREQ_SQL} SELECT count(*) AS n, round(max(frequency), 8) AS max_f, round(avg(frequency), 8) AS mean_f, round((SELECT avg(f) FROM (SELECT frequency AS f FROM freq ORDER BY f DESC LIMIT (SELECT greatest(1, round_even(count(*) * 0.05, 0))::BIGINT FROM freq))), 8) AS top5_mean FROM freq")
+@query(f"WITH {FREQ_SQL} SELECT count(*) AS n, round(max(frequency), 8) AS max_f, round(avg(frequency), 8) AS mean_f, round((SELECT avg(f) FROM (SELECT frequency AS f FROM freq ORDER BY f DESC LIMIT (SELECT greatest(1, round_even(count(*) * 0.05, 0))::BIGINT FROM freq))), 8) AS top5_mean, greatest(1, round_even(count(*) * 0.05, 0))::BIGINT AS top5_n, round(max(frequency) FILTER (gene = 0), 8) AS goi_f FROM freq")
 def frequency_metrics(spark, sf_dir):
-    return rounded(ranking.frequency_metrics(_frequency(spark, sf_dir)), "max_f", "mean_f", "top5_mean")
+    return rounded(ranking.frequency_metrics(_frequency(spark, sf_dir), GOI), "max_f", "mean_f", "top5_mean", "goi_f")
 
 
 _ORDER = "ORDER BY frequency DESC, lower(gene::VARCHAR), gene"
@@ -416,10 +466,10 @@ def p_quantile_threshold(spark, sf_dir):
 @query()
 def quantile_relationships(spark, sf_dir):
     e = graph._cut(gc_edges(spark, sf_dir), "edges")
-    return rounded(ranking.goi_relationships(e, GOI, [0.1, 0.5, 1.0]), "threshold")
+    return rounded(ranking.goi_relationships(e, GOI, [0.1, 0.5, 1.0]), "threshold", "share")
 
 
-ORACLE_SQL["quantile_relationships"] = f"WITH {EDGE_SQL}, q AS (" + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, quantile_cont(p_value, {q}) AS threshold FROM e" for q in (0.1, 0.5, 1.0)) + ") SELECT q, round(threshold, 8) AS threshold, count(*) AS selected, count(*) FILTER (gene1 = 0) AS outgoing, count(*) FILTER (gene2 = 0) AS incoming, count(DISTINCT CASE WHEN gene1 = 0 THEN gene2 WHEN gene2 = 0 THEN gene1 END) AS related FROM e JOIN q ON p_value <= threshold GROUP BY q, threshold"
+ORACLE_SQL["quantile_relationships"] = f"WITH {EDGE_SQL}, q AS (" + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, quantile_cont(p_value, {q}) AS threshold FROM e" for q in (0.1, 0.5, 1.0)) + ") SELECT q, round(threshold, 8) AS threshold, count(*) AS selected, count(*) FILTER (gene1 = 0) AS outgoing, count(*) FILTER (gene2 = 0) AS incoming, count(DISTINCT CASE WHEN gene1 = 0 THEN gene2 WHEN gene2 = 0 THEN gene1 END) AS related, round(100.0 * count(*) FILTER (gene1 = 0 OR gene2 = 0) / count(*), 8) AS share FROM e JOIN q ON p_value <= threshold GROUP BY q, threshold"
 
 
 @query(f"WITH {GC_SQL} SELECT least(floor(p_value * 20), 19)::INT AS bin, count(*) AS n FROM gc GROUP BY ALL")
@@ -435,12 +485,14 @@ def stability_metrics(spark, sf_dir):
     return rounded(ranking.stability(_frequency(spark, sf_dir), _frequency(spark, sf_dir, RUNS + 5)), "rel_change", "overlap")
 
 
-@query(f"WITH {_TWO} SELECT coalesce(a.gene, b.gene) AS gene, round(a.frequency, 8) AS prev_f, round(b.frequency, 8) AS curr_f, (a.gene IS NOT NULL)::INT AS in_prev, (b.gene IS NOT NULL)::INT AS in_curr, round(abs(a.frequency - b.frequency), 8) AS abs_diff FROM freq a FULL JOIN freq2 b ON a.gene = b.gene")
+@query(f"WITH {_TWO}, x AS (SELECT coalesce(a.gene, b.gene) AS gene, coalesce(a.frequency, 0) AS p, coalesce(b.frequency, 0) AS c, (a.gene IS NOT NULL)::INT AS in_prev, (b.gene IS NOT NULL)::INT AS in_curr FROM (FROM freq WHERE gene % 7 <> 0) a FULL JOIN (FROM freq2 WHERE gene % 5 <> 0) b ON a.gene = b.gene) SELECT gene, round(p, 8) AS prev_f, round(c, 8) AS curr_f, round(abs(p - c), 8) AS abs_diff, round(abs(p - c) / greatest(p, c, 1e-9), 8) AS rel_diff, in_prev, in_curr FROM x")
 def frequency_diff(spark, sf_dir):
-    return rounded(ranking.frequency_diff(_frequency(spark, sf_dir), _frequency(spark, sf_dir, RUNS + 5)), "prev_f", "curr_f", "abs_diff")
+    """Two rankings of which either lacks genes of the other."""
+    prev, curr = _frequency(spark, sf_dir).where("gene % 7 <> 0"), _frequency(spark, sf_dir, RUNS + 5).where("gene % 5 <> 0")
+    return rounded(ranking.frequency_diff(prev, curr, denominator="max"), "prev_f", "curr_f", "abs_diff", "rel_diff")
 
 
-@query(f"WITH {HALVES_SQL} SELECT count(*) FILTER (a.gene1 IS NOT NULL AND b.gene1 IS NOT NULL) AS shared, count(*) FILTER (b.gene1 IS NULL) AS missing, count(*) FILTER (a.gene1 IS NULL) AS extra, count(*) FILTER (abs(a.p_value - b.p_value) > 0.001) AS p_differs, round(max(abs(a.p_value - b.p_value)), 8) AS max_diff, count(*) FILTER ((a.p_value <= 0.005) <> (b.p_value <= 0.005)) AS flips FROM a FULL JOIN b ON a.gene1 = b.gene1 AND a.gene2 = b.gene2")
+@query(f"WITH {HALVES_SQL} SELECT count(a.gene1) AS n_reference, count(b.gene1) AS n_candidate, count(*) FILTER (a.gene1 IS NOT NULL AND b.gene1 IS NOT NULL) AS shared, count(*) FILTER (b.gene1 IS NULL) AS missing, count(*) FILTER (a.gene1 IS NULL) AS extra, count(*) FILTER (abs(a.p_value - b.p_value) > 0.001) AS p_differs, round(max(abs(a.p_value - b.p_value)), 8) AS max_diff, count(*) FILTER ((a.p_value <= 0.005) <> (b.p_value <= 0.005)) AS flips FROM a FULL JOIN b ON a.gene1 = b.gene1 AND a.gene2 = b.gene2")
 def gc_parity(spark, sf_dir):
     return rounded(ranking.edge_parity(*halves(spark, sf_dir), 0.001, 0.005), "max_diff")
 
@@ -463,10 +515,34 @@ def ols_time_model(spark, sf_dir):
     return r.select("gene", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
 
 
-@query(f"WITH {_YEARS}, j AS (SELECT y.gene, y.t, y.value AS v, x.value AS x FROM y JOIN y x ON x.gene = 1 AND x.t = y.t AND y.gene <> 1), c AS (SELECT gene, covar_pop(t, v) AS tv, covar_pop(t, x) AS tx, covar_pop(x, v) AS xv, var_pop(t) AS tt, var_pop(x) AS xx, var_pop(v) AS vv FROM j GROUP BY gene) SELECT gene, round((xv - tx * tv / tt) / (xx - tx * tx / tt), 6) AS coef, round((tv * tv / tt + (xv - tx * tv / tt) * (xv - tx * tv / tt) / (xx - tx * tx / tt)) / nullif(vv, 0), 6) AS r2 FROM c")
+#: Time is seven years in a row in all series: centred time and its centred square are orthogonal, so every fit is a sum.
+_BOTH_SQL = f"""WITH {_YEARS}, full_ AS (SELECT gene FROM y GROUP BY gene HAVING count(*) = 7),
+mid AS (SELECT min(t) + 3 AS mid FROM y),
+z AS (SELECT gene, t - mid AS c, (t - mid) * (t - mid) - 4 AS q, value - avg(value) OVER (PARTITION BY gene) AS v FROM y SEMI JOIN full_ USING (gene), mid),
+m AS (SELECT gene, sum(v * v) AS vv, sum(v * c) AS vc, sum(v * q) AS vq FROM z GROUP BY gene),
+k AS (SELECT *, vv - vc * vc / 28 AS sse1, vv - vc * vc / 28 - vq * vq / 84 AS sse2 FROM m),
+fit AS (SELECT *, vq * vq / 84 / (sse2 / 4) AS f2 FROM k),
+model AS (SELECT *, {f_tail_sql("f2", 4)} AS p2 FROM fit),
+dots AS (SELECT a.gene AS predictor, b.gene AS target, sum(a.v * b.v) AS xy FROM z a JOIN z b ON a.c = b.c WHERE a.gene <> b.gene AND (a.gene = 1 OR b.gene = 1) GROUP BY ALL),
+r AS (SELECT predictor, target, t.*, (p2 < 0.05) AS quad, xy - x.vc * t.vc / 28 - CASE WHEN p2 < 0.05 THEN x.vq * t.vq / 84 ELSE 0 END AS sxy,
+      x.vv - x.vc * x.vc / 28 - CASE WHEN p2 < 0.05 THEN x.vq * x.vq / 84 ELSE 0 END AS sxx FROM dots JOIN model t ON t.gene = target JOIN m x ON x.gene = predictor),
+e AS (SELECT *, CASE WHEN quad THEN 3 ELSE 4 END AS df, CASE WHEN quad THEN sse2 ELSE sse1 END - sxy * sxy / sxx AS sse FROM r),
+s AS (SELECT *, sxy / sxx / sqrt(sse / df / sxx) AS tt, 1 - sse / vv AS r2, sxy / sxx * (sxy / sxx) / (sse / df / sxx) AS ff FROM e)
+SELECT target, predictor, CASE WHEN quad THEN 'quadratic' ELSE 'linear' END AS selected_time_model, 7 AS n_observations,
+       round(1 - sse1 / vv, 6) AS linear_time_r_squared, round(1 - sse2 / vv, 6) AS quadratic_time_r_squared, round(vq / 84, 6) AS quadratic_term_coefficient, round(p2, 6) AS quadratic_term_p_value,
+       round(r2, 6) AS final_model_r_squared, round(sse, 3) AS final_model_sse, round(sxy / sxx, 6) AS predictor_coefficient, round(tt, 5) AS predictor_t_statistic,
+       round(CASE WHEN quad THEN {f_tail_sql("ff", 3)} ELSE {f_tail_sql("ff", 4)} END, 6) AS predictor_p_value, round(1 - (1 - r2) * 6 / df, 6) AS adjusted_r_squared, df::DOUBLE AS residual_degrees_of_freedom, 'ok' AS status FROM s
+UNION ALL SELECT x.target, x.predictor, '', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'failed'
+FROM (SELECT gene AS target, 1 AS predictor FROM (SELECT DISTINCT gene FROM y) ANTI JOIN full_ USING (gene) UNION ALL SELECT 1, gene FROM (SELECT DISTINCT gene FROM y) ANTI JOIN full_ USING (gene)) x"""
+
+
+@query(_BOTH_SQL)
 def ols_predictor(spark, sf_dir):
-    r = regression.with_predictor(graph._cut(_yearly(spark, sf_dir), "yearly"), 1)
-    return r.select("gene", F.round("coef", 6).alias("coef"), F.round("r2", 6).alias("r2"))
+    m = graph._cut(_yearly(spark, sf_dir).withColumn("rep", F.lit("")), "yearly")
+    r = regression.both_directions(m, 1)
+    places = {"final_model_sse": 3, "predictor_t_statistic": 5}
+    numbers = [c for c in regression.NUMBERS if c not in ("linear_time_sse", "quadratic_time_sse", "residual_degrees_of_freedom")]
+    return r.select("target", "predictor", "selected_time_model", "n_observations", *[F.round(c, places.get(c, 6)).alias(c) for c in numbers], "residual_degrees_of_freedom", "status")
 
 
 @query(f"WITH m AS ({EMB_SQL}), g AS (SELECT gene, count(*) AS n, count(DISTINCT t) AS d, min(value) AS lo, count(*) FILTER (value IS NULL) AS missing FROM m GROUP BY gene) SELECT count(*) AS n_genes, min(d) AS min_points, count(*) FILTER (n <> d) AS duplicated, count(*) FILTER (lo < 0) AS negative, sum(missing)::BIGINT AS missing FROM g")
@@ -474,7 +550,7 @@ def validate_matrix(spark, sf_dir):
     return validate.matrix(embedding_long(spark, sf_dir))
 
 
-@query(f"WITH {EDGE_SQL} SELECT count(*) AS n_rows, count(*) FILTER (gene1 = gene2) AS self_pairs, count(*) FILTER (p_value IS NULL) AS missing, count(*) FILTER (p_value NOT BETWEEN 0 AND 1) AS out_of_range FROM e")
+@query(f"WITH {EDGE_SQL} SELECT count(*) AS n_rows, count(*) FILTER (gene1 = gene2) AS self_pairs, count(*) FILTER (gene1 IS NULL OR gene2 IS NULL) AS blank, count(*) FILTER (p_value IS NULL) AS missing, count(*) FILTER (isinf(p_value)) AS infinite, count(*) FILTER (p_value NOT BETWEEN 0 AND 1) AS out_of_range FROM e")
 def validate_edges(spark, sf_dir):
     return validate.edge_table(gc_edges(spark, sf_dir))
 

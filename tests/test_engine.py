@@ -59,8 +59,12 @@ def test_expansion_follows_passing_edges(spark):
 
 
 def test_top_percent_keeps_the_gene_of_interest(spark):
-    f = spark.createDataFrame([("A", 0.9), ("B", 0.8), ("C", 0.1)], "gene string, frequency double")
-    assert {r.gene for r in ranking.top_percent(f, 33, "C").collect()} == {"A", "C"}
+    f = spark.createDataFrame([("K", 0.9), ("L", 0.8), ("M", 0.1)], "gene string, frequency double")
+    assert {r.gene for r in ranking.top_percent(f, 33, "M").collect()} == {"K", "M"}
+    # A gene that the table does not have is put in all the same, in front and without a frequency.
+    assert [(r.gene, r.frequency) for r in ranking.top_percent(f, 33, "Z").collect()] == [("Z", None), ("K", 0.9)]
+    assert {r.gene for r in ranking.min_frequency(f, 0.7, "Z").collect()} == {"K", "L", "Z"}
+    assert {r.gene for r in ranking.top_consensus(f, 0.5, "m").collect()} == {"K", "L", "M"}
 
 
 def test_spanning_forest_weight(spark):

@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from causeway.operators import community, graph, ranking
+from causeway.operators import community, components, edges, graph, paths, ranking
 from causeway.plans.runner import Config, Runner
 from causeway.sources import writers
 
@@ -24,6 +24,17 @@ def test_strong_components_match_reachability(spark):
     expected = {a: min(b for b in r if a in reach[b]) for a, r in reach.items()}
     got = {r.gene: r.component for r in graph.strong_components(made(spark, [(*x, 0.1) for x in pairs])).collect()}
     assert got == expected
+    by_rounds = {r.gene: r.component for r in graph.strong_components(made(spark, [(*x, 0.1) for x in pairs]), one_task_edges=0).collect()}
+    assert by_rounds == expected
+
+
+def test_components_of_a_long_path(spark):
+    order = np.random.default_rng(7).permutation(1000).tolist()
+    e = made(spark, [(a, b, 0.1) for a, b in zip(order, order[1:], strict=False)] + [(2000, 2001, 0.1), (3000, 3000, 0.1)])
+    got = {r.gene: r.component for r in graph.components(e).collect()}
+    assert got == dict.fromkeys(order, 0) | {2000: 2000, 2001: 2000, 3000: 3000}
+    with pytest.raises(RuntimeError, match="not settled"):
+        components.component_of(e.selectExpr("gene1 AS a", "gene2 AS b"), max_rounds=2)
 
 
 def test_steiner_tree_joins_terminals_by_the_hub(spark):
@@ -89,3 +100,43 @@ def test_expansion_and_distances_have_no_last_round(spark):
     start = spark.createDataFrame([(0,)], "gene long")
     assert graph.expand(e, start, 0.5).count() == 6 and graph.hops(e, start, 2).count() == 3
     assert {r.gene: r.dist for r in graph.distances(e, 0).collect()} == {i: i / 2 for i in range(7)}
+
+
+def test_path_tables(spark):
+    e = made(spark, [(0, 1, 0.1), (1, 2, 0.1), (0, 2, 0.5), (3, 4, 0.2)])
+    t = spark.createDataFrame([(2,), (4,), (2,), (0,)], "gene long")
+    added = spark.createDataFrame([(1,)], "gene long")
+    a = {r.terminal: r for r in paths.path_table(paths.paths_to(e, 0), t, added).collect()}
+    assert (a[2].length_edges, a[2].total_weight, a[2].steiner_hops_used, a[2].score_neglog10_path, a[2].path) == (2, 0.2, 1, 2.0, "2;1;0")
+    assert a[4].path == "No Path Available" and a[4].total_weight is None and a[0].path == "0" and a[0].length_edges == 0
+    b = paths.path_table(paths.paths_to(e, 0, bottleneck=True), t, added, "bottleneck_p")
+    both = paths.in_order(paths.combined_summary(paths.path_table(paths.paths_to(e, 0), t), b)).collect()
+    assert [(r.terminal, r.minsum_totalweight, r.bottleneck_p) for r in both] == [(0, 0.0, 0.0), (2, 0.2, 0.1), (4, None, None)]
+    # A gene of interest that is not in the network: no terminal has a path.
+    assert {r.path for r in paths.path_table(paths.paths_to(e, 99), t).collect()} == {"No Path Available"}
+
+
+def test_consensus_clusters(spark):
+    rows = [(run, g, int(g >= 3) if run < 4 else int(g >= 2)) for run in range(5) for g in range(6)]
+    parts = spark.createDataFrame(rows, "run long, gene long, community long")
+    got = {r.gene: r.community for r in community.consensus_clusters(parts).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
+    m = community.consensus_metrics(community.consensus_clusters(parts), 9).first()
+    assert (m.communities, m.largest, m.present, m.home, m.home_size) == (2, 3, False, -1, 0)
+    with pytest.raises(ValueError, match="more than 3"):
+        community.consensus_clusters(parts, max_genes=3)
+
+
+def test_top_consensus_network_keeps_isolated_genes(spark):
+    e = spark.createDataFrame([("ka", "LB", 0.01), ("LB", "x", 0.01)], "gene1 string, gene2 string, p_value double")
+    f = spark.createDataFrame([("KA", 0.9), ("lb", 0.8), ("solo", 0.7), ("x", 0.1)], "gene string, frequency double")
+    inner, nodes = community.top_consensus_network(e, f, 0.75, "Goi", 0.05)
+    assert [(r.gene1, r.gene2) for r in inner.collect()] == [("ka", "LB")]
+    assert {(r.gene, r.isolated) for r in nodes.collect()} == {("ka", False), ("LB", False), ("solo", True), ("Goi", True)}
+
+
+def test_pair_count_audit(spark):
+    e = made(spark, [(0, 1, 0.1), (1, 0, 0.2)])
+    assert edges.pair_count_audit(e, 2) == 2
+    with pytest.raises(ValueError, match="expected 6"):
+        edges.pair_count_audit(e, 3)
