@@ -24,8 +24,12 @@ class Sealed:
         """An exact match goes before one of another case."""
         return self.names.index(name) if name in self.names else [n.lower() for n in self.names].index(name.lower())
 
+    def at(self, name: str) -> str:
+        """The private name of a column."""
+        return f"__in{self._at(name)}"
+
     def __getitem__(self, name: str) -> Column:
-        return F.col(f"__in{self._at(name)}")
+        return F.col(self.at(name))
 
     def kind(self, name: str):
         return self.schema[self._at(name)].dataType

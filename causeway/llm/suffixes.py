@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ _DOWN = np.cumprod(np.append(np.uint64(1), np.full(SLICE, np.uint64(pow(int(_BAS
 _LAST_ID = np.iinfo(np.int64).max
 #: Bytes of text whose anchors make a part.
 PART_BYTES = 4 << 20
+#: Rows of three numbers that a driver-checked broadcast may have.
+BROADCAST_ROWS = 1_000_000
 #: Strings that a blind trie takes; larger groups are split by quicksort first.
 BLIND = 4096
 
@@ -284,6 +287,26 @@ def _unpack(x: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def squeezed(text: Column) -> Column:
+    """A text's UTF-8 bytes under zstd, null as empty: what travels when whole texts must."""
+
+    @F.arrow_udf("binary")
+    def squeeze(texts: pa.Array) -> pa.Array:
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=3)
+        return pa.array([c.compress((t.as_py() or "").encode()) for t in texts], pa.binary())
+
+    return squeeze(text)
+
+
+def _unsqueezed(packed: pa.Array) -> pa.Array:
+    import zstandard
+
+    d = zstandard.ZstdDecompressor()
+    return pa.array([d.decompress(z) for z in packed.to_pylist()], pa.large_binary())
+
+
 def _ids(column) -> np.ndarray:
     return column.fill_null(_LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -314,8 +337,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
     texts = written(texts, "texts")
     total = texts.agg(F.sum("bytes")).first()[0] or 0
     first_of = texts.where("n > 1").select("t1", "t2", "first_id")
-    # Merged at every size: both sides grow with the documents, and Spark may split a large group of copies.
-    slim = slim.join(first_of.hint("merge"), ["t1", "t2"], "left").drop("t1", "t2")
+    slim = slim.join(F.broadcast(first_of) if first_of.count() <= BROADCAST_ROWS else first_of, ["t1", "t2"], "left").drop("t1", "t2")
     is_copy = F.coalesce(F.coalesce("doc_id", F.lit(_LAST_ID)) > F.col("first_id"), F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
     copies = slim.where(is_copy & (F.octet_length("text") >= length)).select("r1", "r2", whole.alias("runs"))
@@ -325,8 +347,6 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
     width = length - GRAM + 1
 
     def anchors(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             hashes, text, *_ = anchor_runs(*text_buffers(batch.column(2)), length)
             # A document counts once for each anchor.
@@ -346,8 +366,6 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "hashes", "number", "ids", "keys"])
 
     def shared(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for p, rows in _one_part_at_a_time(batches):
             found = []
             for cols in rows:
@@ -377,10 +395,8 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
     per_doc = written(lists, "shared").groupBy("r1").agg(F.collect_list("shared").alias("shared"))
 
     def surroundings(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(3))
+            raw, offsets = text_buffers(_unsqueezed(batch.column(3)).cast(pa.large_string()))
             hashes, text, anchor, lo, hi = anchor_runs(raw, offsets, length)
             short = _short(hashes, n_parts)
             wanted = np.zeros(len(hashes), bool)
@@ -407,8 +423,6 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.binary()))], names=["part", "record"])
 
     def sorted_runs(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         kinds = [np.uint8, np.uint64, np.int64, np.uint8, np.uint8, np.int64, np.int64, np.int64]
         for _, rows in _one_part_at_a_time(batches):
             found = [[_unpack(record[0], np.uint8), *[np.frombuffer(x, kind) for x, kind in zip(record[1:], kinds[1:], strict=True)]] for (record,) in rows]
@@ -423,7 +437,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
             for at in range(0, len(row), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in out], names=["r1", "r2", "start", "end"])
 
-    near = slim.join(per_doc, "r1").select("doc_id", "r1", "r2", "text", "shared")
+    near = slim.withColumn("text", squeezed(F.col("text"))).join(per_doc, "r1").select("doc_id", "r1", "r2", "text", "shared")
     records = near.mapInArrow(surroundings, "part long, record array<binary>").repartitionById(n_tasks, F.col("part").cast("int")).sortWithinPartitions("part")
     pieces = written(records.mapInArrow(sorted_runs, "r1 long, r2 long, start long, end long").distinct(), "pieces")
     # Overlapping pieces of a document become maximal runs; adjacent ones count as one.
@@ -451,12 +465,27 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     """``docs`` with ``removed`` (runs of bytes, original offsets; null if there are none), ``n_bytes`` and ``kept_bytes`` (binary)."""
     own = Sealed(docs)
     ident, text = own[id_col], own[text_col].cast("string")
-    runs = removed_runs(own.df, length, ident, text).withColumnRenamed("runs", "__removed")
+    runs = removed_runs(own.df, length, ident, text)
     r1, r2 = identity(ident, text)
-    joined = own.df.withColumns({"r1": r1, "r2": r2}).join(runs.hint("merge"), ["r1", "r2"], "left")
-    joined = joined.withColumn("__raw", F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__removed", lambda r: r["end"]))
-    starts = F.concat(F.transform("__removed", lambda r: r["start"]), F.array(F.octet_length("__raw").cast("long")))
-    parts = F.zip_with(ends, starts, lambda a, b: F.hex(F.substring(F.col("__raw"), (a + 1).cast("int"), (b - a).cast("int"))))
-    kept = F.when(F.col("__removed").isNull(), F.col("__raw")).otherwise(F.unhex(F.array_join(parts, "")))
-    return own.back(joined, {"removed": F.col("__removed"), "n_bytes": F.octet_length("__raw").cast("long"), "kept_bytes": kept})
+    # The texts travel to their runs under zstd; they are the bulk of that shuffle.
+    keyed = own.df.withColumns({"r1": r1, "r2": r2, "no_text": text.isNull(), "z": squeezed(text)}).drop(own[text_col])
+    joined = keyed.join(runs.hint("merge"), ["r1", "r2"], "left")
+
+    @F.arrow_udf("binary")
+    def whole(packed: pa.Array) -> pa.Array:
+        return _unsqueezed(packed).cast(pa.binary())
+
+    @F.arrow_udf("struct<n: long, kept: binary>")
+    def kept(packed: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for raw, own_runs in zip(_unsqueezed(packed).to_pylist(), found.to_pylist(), strict=True):
+            parts, at = [], 0
+            for x in own_runs or []:
+                parts.append(raw[at : x["start"]])
+                at = x["end"]
+            out.append({"n": len(raw), "kept": b"".join([*parts, raw[at:]]) if parts else raw})
+        return pa.array(out, pa.struct([("n", pa.int64()), ("kept", pa.binary())]))
+
+    back = F.when(~F.col("no_text"), F.decode(whole(F.col("z")), "UTF-8")).cast(own.kind(text_col))
+    done = joined.withColumn("made", kept(F.col("z"), F.col("runs"))).withColumn(own.at(text_col), back)
+    return own.back(done, {"removed": F.col("runs"), "n_bytes": F.col("made.n"), "kept_bytes": F.col("made.kept")})
