@@ -47,6 +47,8 @@ _DOWN = np.cumprod(np.append(np.uint64(1), np.full(SLICE, np.uint64(pow(int(_BAS
 _LAST_ID = np.iinfo(np.int64).max
 #: Bytes of text whose anchors make a part.
 PART_BYTES = 4 << 20
+#: Bytes of text whose anchors are found at once.
+SLICE_BYTES = 8 << 20
 #: Rows of three numbers that a driver-checked broadcast may have.
 BROADCAST_ROWS = 1_000_000
 #: Strings that a blind trie takes; larger groups are split by quicksort first.
@@ -311,6 +313,14 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(_LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _slices(batches: Iterator, column: int, limit: int) -> Iterator:
+    """The rows of the batches, about ``limit`` bytes of a column at a time: work arrays are several times as large."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * limit / max(1, batch.column(column).nbytes)))
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
+
+
 def _one_part_at_a_time(batches: Iterator) -> Iterator[tuple[int, list]]:
     """(part, its rows without the part's number) of batches that are sorted by their first column."""
     part, rows = None, []
@@ -347,7 +357,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
     width = length - GRAM + 1
 
     def anchors(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in _slices(batches, 2, SLICE_BYTES):
             hashes, text, *_ = anchor_runs(*text_buffers(batch.column(2)), length)
             # A document counts once for each anchor.
             order = np.lexsort((hashes, text))
@@ -395,7 +405,7 @@ def removed_runs(docs: DataFrame, length: int = 50, id_col: str | Column = "doc_
     per_doc = written(lists, "shared").groupBy("r1").agg(F.collect_list("shared").alias("shared"))
 
     def surroundings(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in _slices(batches, 3, SLICE_BYTES // 2):
             raw, offsets = text_buffers(_unsqueezed(batch.column(3)).cast(pa.large_string()))
             hashes, text, anchor, lo, hi = anchor_runs(raw, offsets, length)
             short = _short(hashes, n_parts)
