@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from causeway.operators import preprocess
+
 EDGE_SCHEMA = T.StructType([T.StructField("gene1", T.StringType()), T.StructField("gene2", T.StringType()), T.StructField("lag", T.IntegerType()), T.StructField("p_value", T.DoubleType())])
 
 
@@ -22,7 +24,7 @@ def unpivot(wide: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(gene, t, label, value): ``order`` gives the semantic order of the columns."""
     long = wide.unpivot([key], order, "label", "raw")
     place = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i))])
-    return long.select(F.col(key).alias("gene"), place[F.col("label")].alias("t"), "label", F.col("raw").try_cast("double").alias("value"))
+    return long.select(F.col(key).alias("gene"), place[F.col("label")].alias("t"), "label", F.col("raw").alias("value"))
 
 
 def expression_matrix(spark: SparkSession, path: str, min_points: int = 5) -> DataFrame:
@@ -34,13 +36,21 @@ def expression_matrix(spark: SparkSession, path: str, min_points: int = 5) -> Da
     points = [c for c in wide.columns if c != "Gene"]
     if "Gene" not in wide.columns or len(points) < min_points:
         raise ValueError(f"{path}: a Gene column and {min_points} timepoints are needed")
-    return unpivot(wide, "Gene", points)
+    return preprocess.strict_number(unpivot(wide, "Gene", points))
+
+
+def artifact(spark: SparkSession, path: str) -> DataFrame:
+    """A prepared matrix as CSV: a Gene column and numbers; anything else fails the job."""
+    wide = spark.read.option("header", True).csv(path)
+    if "Gene" not in wide.columns:
+        raise ValueError(f"{path}: a Gene column is needed")
+    return preprocess.strict_number(unpivot(wide, "Gene", [c for c in wide.columns if c != "Gene"]))
 
 
 def count_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """SC2: tab-separated counts; every column but the first is a sample."""
+    """SC2: tab-separated counts; every column but the first is a sample; cells must be numbers."""
     wide = spark.read.option("header", True).option("sep", "\t").csv(path)
-    return unpivot(wide, wide.columns[0], wide.columns[1:])
+    return preprocess.strict_number(unpivot(wide, wide.columns[0], wide.columns[1:]))
 
 
 def feature_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -53,6 +63,81 @@ def feature_counts(spark: SparkSession, path: str) -> DataFrame:
     return wide
 
 
+def run_labels(labels: list[str], runs: list[tuple[str, str]]) -> dict[str, str]:
+    """SC5: names of sample columns with the time of their run: the first run whose id is in the name decides.
+
+    The id is followed by _<time>, and the name ends before _REF.
+    """
+    out = {}
+    for label in labels:
+        run, time = next(((r, t) for r, t in runs if r in label), ("", ""))
+        out[label] = (label.replace(run, f"{run}_{time}") if run else label).split("_REF")[0]
+    return out
+
+
+def wild_type_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(gene, t, rep, value): the wild-type replicates of a count matrix, days from the column names; all-zero genes dropped."""
+    return preprocess.drop_all_zero(preprocess.day_replicates(count_matrix(spark, path), "wild_type"))
+
+
+def run_counts(spark: SparkSession, path: str, mapping: str, runs: str) -> DataFrame:
+    """(gene, t, rep, value): replicates of a featureCounts table under gene symbols and days.
+
+    Columns get their times by the table of runs (Run, Time_point), ids their symbols by the
+    mapping; cells that are no numbers count as 0, unmapped ids and all-zero genes are dropped.
+    """
+    wide = feature_counts(spark, path)
+    meta = spark.read.option("header", True).csv(runs).select("Run", "Time_point").collect()  # a row per sequencing run
+    samples = [c for c in wide.columns if c != "Geneid" and "SRR" in c]
+    names = run_labels(samples, [(r["Run"], r["Time_point"]) for r in meta])
+    long = unpivot(wide.select("Geneid", *[F.col(f"`{c}`").alias(names[c]) for c in samples]), "Geneid", [names[c] for c in samples])
+    mapped = map_symbols(preprocess.to_number(long), id_symbol_map(spark, mapping))
+    return preprocess.drop_all_zero(preprocess.day_replicates(mapped, "runs"))
+
+
+def graphml(path: str) -> tuple[list[str], list[tuple[str, str, float | None]]]:
+    """SC15: (nodes, edges) of a GraphML file of bounded size, as the writer makes it."""
+    import xml.etree.ElementTree as ET
+
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    root = ET.parse(path).getroot()
+    keys = {k.get("id"): k.get("attr.name") for k in root.iter(f"{space}key")}
+    edges = []
+    for e in root.iter(f"{space}edge"):
+        p = next((float(d.text) for d in e.iter(f"{space}data") if keys.get(d.get("key")) == "p_value"), None)
+        edges.append((e.get("source"), e.get("target"), p))
+    return [n.get("id") for n in root.iter(f"{space}node")], edges
+
+
+def resolve(name: str, *roots: str) -> str:
+    """SC16: the file itself, or under the first root that has it, or the only file of that name below a root."""
+    from pathlib import Path
+
+    for base in (Path("."), *map(Path, roots)):
+        if (base / name).exists():
+            return str(base / name)
+    found = sorted({str(p) for base in roots for p in Path(base).rglob(Path(name).name)})
+    if len(found) != 1:
+        raise FileNotFoundError(f"{name}: {'several files' if found else 'no file'} of that name")
+    return found[0]
+
+
+def tsv_to_csv(spark: SparkSession, source: str, target: str) -> None:
+    """SC17: a headerless tab-separated matrix as CSV."""
+    spark.read.option("sep", "\t").csv(source).write.mode("overwrite").csv(target)
+
+
+def noise_rows(spark: SparkSession, *paths: str) -> DataFrame:
+    """(gene, series): every row of headerless noise matrices, named <matrix>:<row> by their order in the file."""
+    out = None
+    for k, path in enumerate(paths):
+        wide = spark.read.csv(path)
+        series = F.array(*[F.col(c).cast("double") for c in wide.columns])
+        rows = wide.select(F.concat(F.lit(f"{k}:"), F.monotonically_increasing_id()).alias("gene"), series.alias("series"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def id_symbol_map(spark: SparkSession, path: str) -> DataFrame:
     """SC4: headerless two columns; a repeated id keeps its last symbol."""
     rows = spark.read.option("sep", "\t").schema("id string, symbol string").csv(path).withColumn("pos", F.monotonically_increasing_id())
@@ -68,7 +153,10 @@ def gene_list(spark: SparkSession, path: str) -> DataFrame:
     """SC6: (pos, gene): blank lines and comments skipped, the first of equal names kept."""
     rows = spark.read.text(path).select(F.trim("value").alias("gene"), F.monotonically_increasing_id().alias("pos"))
     rows = rows.where((F.col("gene") != "") & ~F.col("gene").startswith("#"))
-    return rows.groupBy("gene").agg(F.min("pos").alias("pos")).select("pos", "gene")
+    found = rows.groupBy("gene").agg(F.min("pos").alias("pos")).select("pos", "gene")
+    if found.isEmpty():
+        raise ValueError(f"{path} has no genes")
+    return found
 
 
 def edge_table(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
