@@ -56,3 +56,12 @@ def test_redirected_pairs_without_a_table_of_edges(spark):
     e = granger.granger(s, max_p=0.4).select("gene1", "gene2", "p_value")
     want = rows(edges.redirect(edges.undirected(e.where("p_value <= 0.1")), e))
     assert rows(granger.redirected(s, 0.4, 0.1)) == want and len(want) > 50
+
+
+def test_quantile_of_edges_moves_no_edge(spark):
+    s = series(spark)
+    e = granger.granger(s, max_p=0.4).select("gene1", "gene2", "p_value")
+    p = [r[2] for r in rows(e)]
+    assert ranking.lower_quantile(e, 0.25).first().threshold == pytest.approx(np.quantile(p, 0.25))
+    binned = e.selectExpr("floor(p_value * 10) AS b").groupBy("b").count()._jdf.queryExecution().executedPlan().toString()
+    assert binned.count("Exchange hashpartitioning") <= 2 and "hashpartitioning(bi" not in binned
