@@ -115,3 +115,13 @@ def test_matrix_change_by_classes(spark):
     change = [abs(old.get((a, b), 0) / 4 - new.get((a, b), 0) / 7) / max(old.get((a, b), 0) / 4, 1e-9) for a in range(90) for b in range(a, 90) for _ in range(1 + (a != b))]
     t, u = community.together(parts.where("run < 4")), community.together(parts)
     assert u.pairs.count() < 100 and community.matrix_change(t, 4, u, 7, q=0.6).first().rel_change == pytest.approx(np.quantile(change, 0.6))
+
+
+def test_consensus_clusters_of_many_equal_genes(spark):
+    # 6,000 genes of 6 kinds: more than one matrix of genes could hold before.
+    parts = spark.range(6000).selectExpr("id AS gene", "explode(sequence(0L, 3L)) AS run").selectExpr("run", "gene", "CASE WHEN run = 3 THEN gene % 6 ELSE gene % 2 END AS community")
+    got = community.consensus_clusters(parts).collect()
+    assert len(got) == 6000 and len({r.community for r in got}) == 3 and len({(r.gene % 6, r.community) for r in got}) == 6
+    assert {r.gene: r.community for r in got}[0] == 0
+    with pytest.raises(ValueError, match="classes"):
+        community.consensus_clusters(parts, max_classes=5)
