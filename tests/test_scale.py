@@ -125,3 +125,13 @@ def test_consensus_clusters_of_many_equal_genes(spark):
     assert {r.gene: r.community for r in got}[0] == 0
     with pytest.raises(ValueError, match="classes"):
         community.consensus_clusters(parts, max_classes=5)
+
+
+def test_coassociation_spreads_classes_out(spark, monkeypatch):
+    monkeypatch.setattr(community, "CHUNK", 3)
+    parts = parts_of(spark)
+    got = community.coassociation(parts)
+    assert rows(got) == rows(plain(spark, parts))
+    # No row of the result is shuffled: what is spread out last is returned as it is.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "SortMergeJoin" not in plan
