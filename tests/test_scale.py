@@ -165,3 +165,14 @@ def test_paths_in_rounds_and_in_one_task_agree(spark):
         assert {r.gene: r.dist for r in got[0]} == least
         one, many = ({r.gene: (r.dist, r.hops, tuple(r.path), round(r.score, 9)) for r in x} for x in got)
         assert one == many
+
+
+def test_both_kinds_of_paths_share_their_links(spark, monkeypatch):
+    from causeway.plans import registry, reports
+
+    e = spark.createDataFrame([(0, 1, 0.1), (1, 2, 0.1), (0, 2, 0.5)], "gene1 long, gene2 long, p_value double")
+    made = []
+    monkeypatch.setattr(reports, "network", lambda *_: e)
+    monkeypatch.setattr(reports, "_probes", lambda *_: spark.createDataFrame([(2,), (7,)], "gene long"))
+    monkeypatch.setattr(paths, "symmetric", lambda *a, f=paths.symmetric: made.append(1) or f(*a))
+    assert rows(registry.QUERIES["path_summary"](spark, "").fillna(-1.0)) == [(2, 0.2, 0.1), (7, -1.0, -1.0)] and len(made) == 1
