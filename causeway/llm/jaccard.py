@@ -4,15 +4,15 @@ Sets fall into size bands. A band cuts the universe of shingle hashes into segme
 Jaccard similarity t differ in at most H elements, so of any H + 1 segments at least one is
 equal. Every set therefore indexes a subset of its segments: the H + 1 of least cost among
 those that hold enough elements to be selective (``good``). The cost of a segment is the
-posting list to expect, the count of its rarest element in a sample of documents. Goodness and
+posting list to expect, the count of its rarest element over all documents. Goodness and
 cost depend on a segment's content alone, so the cheapest segment on which two linked sets
 agree is among the H + 1 of both: what comes before it in either order differs. That is the
 cheap allocation. A set that has too few good segments is given the dear one: all its segments
 together with their one-deletion neighbourhoods, which survive one difference per segment.
 Sets of one band meet there; a set near a band's upper end also goes to the next band.
 
-The sample (about ``COST_SAMPLE`` documents, chosen by a hash over the whole table) tells costs
-only: another sample makes other posting lists, never other links.
+Elements share counters, so a count is at least the true one; it tells costs only: other counts
+make other posting lists, never other links.
 
 Equal sets are one class and never paired. Signatures are grouped, each group links its
 members to one of them, links are verified exactly on whole sets, and linked classes are
@@ -50,8 +50,7 @@ HEAVY = 32
 BLOCK = 512
 #: Rows that a driver-checked broadcast may have.
 BROADCAST_ROWS = 1_000_000
-#: Documents whose shingles are counted for the costs, about; and counters.
-COST_SAMPLE = 2000
+#: Counters of shingles for the costs.
 COUNTERS = 1 << 16
 
 
@@ -102,24 +101,29 @@ def counter_of(elements: np.ndarray) -> np.ndarray:
     return (mix(elements ^ np.uint64(0x5A3317)) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def element_counts(docs: DataFrame, k: int, id_col: str, text_col: str) -> np.ndarray:
-    """How often the shingles of each counter occur in the sample of documents."""
-    every = max(1, docs.count() // COST_SAMPLE)
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(13), ident), F.lit(every)) == 0).select(F.col(text_col).cast("string").alias("text"))
+def element_counts(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
+    """In how many documents the shingles of each counter occur, over all documents."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            counts = np.zeros(COUNTERS, np.int64)
+            held, n = [], 0
             for s in shingle_sets(batch.column(0), k):
-                counts += np.bincount(counter_of(s), minlength=COUNTERS)
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["at", "n"])
-
+                held.append(counter_of(s))
+                n += len(s)
+                if n > COUNTERS:
+                    counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, n = [], 0
+            if n:
+                counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["at", "n"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
     out = np.zeros(COUNTERS, np.int64)
-    for r in sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row per counter at most
+    for r in texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row per counter at most
         out[r["at"]] = r["n"]
     return out
 
@@ -163,7 +167,7 @@ def _based(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     """One row per document: id, identity, number of shingles, class, signatures."""
     r1, r2 = identity(id_col, text_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), r1.alias("r1"), r2.alias("r2"), F.col(text_col).cast("string").alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(element_counts(docs, k, id_col, text_col))  # half a megabyte
+    counts = docs.sparkSession.sparkContext.broadcast(element_counts(docs, k, text_col))  # half a megabyte
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

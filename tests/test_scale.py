@@ -176,3 +176,11 @@ def test_both_kinds_of_paths_share_their_links(spark, monkeypatch):
     monkeypatch.setattr(reports, "_probes", lambda *_: spark.createDataFrame([(2,), (7,)], "gene long"))
     monkeypatch.setattr(paths, "symmetric", lambda *a, f=paths.symmetric: made.append(1) or f(*a))
     assert rows(registry.QUERIES["path_summary"](spark, "").fillna(-1.0)) == [(2, 0.2, 0.1), (7, -1.0, -1.0)] and len(made) == 1
+
+
+def test_costs_of_signatures_count_every_document(spark):
+    from causeway.llm import jaccard
+
+    docs = spark.range(6000).selectExpr("id AS doc_id", "'one two three four' AS text")
+    counts = jaccard.element_counts(docs, 4, "text")
+    assert counts.sum() == counts.max() == 6000
