@@ -184,3 +184,11 @@ def test_costs_of_signatures_count_every_document(spark):
     docs = spark.range(6000).selectExpr("id AS doc_id", "'one two three four' AS text")
     counts = jaccard.element_counts(docs, 4, "text")
     assert counts.sum() == counts.max() == 6000
+
+
+def test_girvan_newman_of_a_graph_in_parts_has_no_bound(spark):
+    e = spark.createDataFrame([(9, 5, 0.1), (5, 7, 0.1), (1, 2, 0.1), (4, 3, 0.1), (8, 8, 0.1)], "gene1 long, gene2 long, p_value double")
+    want = {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 7: 2, 9: 2}
+    assert {r.gene: r.community for r in community.girvan_newman(e, 3, max_edges=2).collect()} == want == {r.gene: r.community for r in community.girvan_newman(e, 3).collect()}
+    with pytest.raises(ValueError, match="more than 2 edges"):
+        community.girvan_newman(e, 4, max_edges=2)
