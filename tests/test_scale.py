@@ -1,5 +1,7 @@
 """What the large runs need: no table of all edges or of all pairs, and the same results without it."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -272,3 +274,25 @@ def test_paths_over_many_links_need_no_rounds_of_distances(spark, monkeypatch):
             m.setattr(paths, "distances", None)
             m.setattr(paths, "within_bounds", lambda x, s, b: graph.within_bounds(x, s, b, light_links=150))
             assert {r.gene: (r.dist, r.hops, tuple(r.path)) for r in paths.paths_to(e, 0, bottleneck, links, one_task_links=400).collect()} == want
+
+
+def test_hits_in_java_are_those_of_the_runs(spark, monkeypatch):
+    # Hubs beyond MANY links, groups that end as few communities, separate pairs, several blocks; seeds beyond 32 bits too.
+    monkeypatch.setattr(community, "BLOCK_LINKS", 3000)
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 900, (2, 9000))
+    b = np.where(rng.random(9000) < 0.8, a // 150 * 150 + b % 150, b)
+    pairs = {*zip(a.tolist(), b.tolist(), strict=True), *((k, x) for k in (0, 1) for x in rng.integers(2, 900, 400).tolist()), *((1000 + 2 * k, 1001 + 2 * k) for k in range(20))}
+    e = spark.createDataFrame([(x, y, 0.0) for x, y in pairs if x != y], "gene1 long, gene2 long, p_value double")
+    g = community.louvain_graph(e)
+    level = community._level_of([(r.blk, r.n, bytes(r.links)) for r in g.blocks.collect()], g.n)
+    assert level.any_many
+    genes = [r.gene for r in g.genes.orderBy("i").collect()]
+    for first in (0, 2**32 + 1):
+        runs = [community._communities(level, seed) for seed in range(first, first + 6)]
+        want = dict(zip(genes, sum((x == x[genes.index(7)]).astype(int) for x in runs).tolist(), strict=True))
+        assert {r.gene: r.n for r in community.louvain_hits(g, first, first + 6, 7).collect()} == want
+    # As many runs as the loop starts with; in Python these took 0.1 s each.
+    began = time.time()
+    many = {r.gene: r.n for r in community.louvain_hits(g, 0, 5000, 7).collect()}
+    assert many[7] == 5000 and many[1000] == 0 and time.time() - began < 60
