@@ -296,3 +296,22 @@ def test_hits_in_java_are_those_of_the_runs(spark, monkeypatch):
     began = time.time()
     many = {r.gene: r.n for r in community.louvain_hits(g, 0, 5000, 7).collect()}
     assert many[7] == 5000 and many[1000] == 0 and time.time() - began < 60
+
+
+def test_girvan_newman_has_no_bound_of_edges(spark):
+    # Two groups of 150 genes, all linked, and a bridge: 22,351 edges in one part.
+    e = spark.createDataFrame([(g + a, g + b, 0.1) for g in (0, 150) for a in range(150) for b in range(a)] + [(7, 290, 0.1)], "gene1 long, gene2 long, p_value double")
+    assert {r.gene: r.community for r in community.girvan_newman(e, 2).collect()} == {i: i // 150 for i in range(300)}
+
+
+def test_girvan_newman_in_rounds_is_that_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    made = {(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2)) if a != b}
+    chain = [(100 + i, 101 + i) for i in range(5)]  # equal loads
+    e = spark.createDataFrame([*made, *chain], "gene1 long, gene2 long")
+    split = lambda k: sorted(map(tuple, community.girvan_newman(e, k).collect()))
+    want = {k: split(k) for k in (None, 7, 200)}
+    # Several blocks of links, and loads that are added up before they go to the driver.
+    for name, value in (("ONE_TASK_WORK", 0), ("BLOCK_LINKS", 70), ("LOAD_BYTES", 0)):
+        monkeypatch.setattr(community, name, value)
+    assert {k: split(k) for k in (None, 7, 200)} == want and len({c for _, c in want[7]}) == 7 and not want[200]
