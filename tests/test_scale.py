@@ -315,3 +315,16 @@ def test_girvan_newman_in_rounds_is_that_of_one_task(spark, monkeypatch):
     for name, value in (("ONE_TASK_WORK", 0), ("BLOCK_LINKS", 70), ("LOAD_BYTES", 0)):
         monkeypatch.setattr(community, name, value)
     assert {k: split(k) for k in (None, 7, 200)} == want and len({c for _, c in want[7]}) == 7 and not want[200]
+
+
+def test_hits_of_genes_with_many_links_are_those_of_the_runs(spark):
+    # All genes have more than MANY links: looks at few communities read counts alone.
+    rng = np.random.default_rng(9)
+    a, b = np.triu_indices(420, 1)
+    keep = rng.random(len(a)) < np.where(a % 3 == b % 3, 0.75, 0.55)
+    e = spark.createDataFrame([(int(x), int(y), 0.0) for x, y in zip(a[keep], b[keep], strict=True)], "gene1 long, gene2 long, p_value double")
+    g = community.louvain_graph(e)
+    level = community._level_of([(r.blk, r.n, bytes(r.links)) for r in g.blocks.collect()], g.n)
+    assert all(level.many)
+    runs = [community._communities(level, seed) for seed in range(12)]
+    assert {r.gene: r.n for r in community.louvain_hits(g, 0, 12, 7).collect()} == dict(enumerate(sum((x == x[7]).astype(int) for x in runs).tolist()))
